@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm.line_dedup import line_counts
 from gneiss.llm.minhash_dedup import near_duplicates
+from gneiss.llm.mixing import mix_words
 from gneiss.llm.packing import packed_documents
 from gneiss.llm.quality import quality_scores
 from gneiss.llm.toxicity import toxicity
@@ -31,6 +34,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_words(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -49,3 +57,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
+
+
+@_query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_counts(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
