@@ -7,9 +7,11 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm.embedding_dedup import near_vectors
 from gneiss.llm.line_dedup import line_counts
 from gneiss.llm.minhash_dedup import near_duplicates
 from gneiss.llm.mixing import mix_words
+from gneiss.llm.ngram_lm import lm_scores
 from gneiss.llm.packing import packed_documents
 from gneiss.llm.quality import quality_scores
 from gneiss.llm.toxicity import toxicity
@@ -59,11 +61,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
 
 
+@_query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_counts(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
