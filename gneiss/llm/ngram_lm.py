@@ -32,9 +32,9 @@ from gneiss.functions.lineage import new_path, written
 from gneiss.llm.labelled import crc_of_id
 from gneiss.llm.words import bounded_batches, chunks, mix
 
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
 #: Tokens whose counts a task joins before it sends them.
-RUN = 4 << 20
+RUN = 2 << 20
 #: Ids in one range of word statistics.
 ID_RANGE = 1 << 19
 
