@@ -28,18 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.lineage import drop, written
-from gneiss.llm.words import bounded_batches, chunks_with_bytes, list_array, mix, signed
+from gneiss.llm.words import bounded_batches, chunks_with_bytes, column_bytes, list_array, mix, signed
 
 LEAST_WORDS, NEAR_WORDS = 5, 10
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _lines(hashes, starts, raw, lo_byte, hi_byte):
-    """Word ranges of the lines of one row: arrays from and to, also of lines without words."""
-    feeds = np.flatnonzero(raw[lo_byte:hi_byte] == 10) + lo_byte
-    to = np.searchsorted(starts, np.concatenate([feeds, [hi_byte]]))
-    return np.concatenate([[np.searchsorted(starts, lo_byte)], to[:-1]]), to
+def _lines(raw: np.ndarray, starts: np.ndarray, rows: int, ends: np.ndarray):
+    """For all lines of a chunk: row, number in the row, word range from and to. ends: where each row's bytes end, with its line feed."""
+    feeds = np.flatnonzero(raw == 10)
+    to = np.searchsorted(starts, feeds)
+    row = np.searchsorted(ends, feeds, side="right")
+    first = np.searchsorted(row, np.arange(rows))
+    return row, np.arange(len(feeds)) - first[row], np.concatenate([[0], to[:-1]]), to
 
 
 def _sequence(h: np.ndarray) -> np.ndarray:
@@ -51,20 +53,20 @@ def _sequence(h: np.ndarray) -> np.ndarray:
     return sums, power
 
 
-def line_hash(h: np.ndarray) -> np.uint64:
-    s, _ = _sequence(h)
-    return mix(s[-1:] + np.uint64(len(h)))[0]
-
-
-def halves(h: np.ndarray) -> np.ndarray:
-    """Keys of the first and last halves, for a partner of the same length and one a word shorter or longer."""
-    n, (s, power) = len(h), _sequence(h)
+def line_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the lines from words a to b: the hash, and the keys of the first and last halves, for a partner
+    of the same length and one a word shorter or longer (a row each; for odd lengths the last two repeat)."""
+    s, _ = _sequence(hashes)
+    steps = np.full(len(hashes) + 1, np.uint64(pow(int(_P), -1, 1 << 64)), dtype=np.uint64)
+    steps[0] = 1
+    inverse = np.cumprod(steps, dtype=np.uint64)
+    of = lambda x, y: (s[y] - s[x]) * inverse[x]
+    n = b - a
     keys = []
-    for k in {n // 2, (n - 1) // 2}:
-        keys.append(mix(s[k : k + 1] + mix(np.array([2 * k + 1], dtype=np.uint64)))[0])
-        back, _ = _sequence(h[n - k :])
-        keys.append(mix(back[-1:] + mix(np.array([2 * k + 2], dtype=np.uint64)))[0])
-    return np.array(keys, dtype=np.uint64)
+    for k in (n // 2, (n - 1) // 2):
+        keys.append(mix(of(a, a + k) + mix((2 * k + 1).astype(np.uint64))))
+        keys.append(mix(of(b - k, b) + mix((2 * k + 2).astype(np.uint64))))
+    return mix(of(a, b) + n.astype(np.uint64)), np.stack(keys, axis=1)
 
 
 def variants(h: np.ndarray) -> np.ndarray:
@@ -77,21 +79,11 @@ def variants(h: np.ndarray) -> np.ndarray:
     return np.concatenate([mix(plain ^ (np.arange(n, dtype=np.uint64) + np.uint64(1)) * _P), np.unique(plain), mix(s[-1:] + np.uint64(n))])
 
 
-def _rows(batch: pa.RecordBatch, text: int):
-    """For each row: its number, the words' hashes and the word ranges of its lines."""
-    for lo, hi, hashes, offsets, raw, starts, _stops in chunks_with_bytes(batch.column(text)):
-        sizes = _sizes(batch.column(text), lo, hi)
-        ends = np.cumsum(sizes + 1)
-        for i in range(hi - lo):
-            a, b = _lines(hashes, starts, raw, int(ends[i] - sizes[i] - 1), int(ends[i] - 1))
-            yield lo + i, hashes, a, b
-
-
-def _sizes(column: pa.Array, lo: int, hi: int) -> np.ndarray:
-    from_ = column.cast(pa.large_string()).fill_null("")
-    _, offsets, _ = from_.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64)[from_.offset : from_.offset + len(from_) + 1]
-    return np.diff(at[lo : hi + 1])
+def _chunk_lines(column: pa.Array):
+    """For row ranges: their first row, the words' hashes, and the lines as of _lines()."""
+    _, at = column_bytes(column)
+    for lo, hi, hashes, _, raw, starts, _ in chunks_with_bytes(column):
+        yield lo, hashes, *_lines(raw, starts, hi - lo, np.cumsum(np.diff(at[lo : hi + 1]) + 1))
 
 
 def _line_table(least: int, near: int):
@@ -99,21 +91,20 @@ def _line_table(least: int, near: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, rows = batch.column(0), batch.column(1)
-            at, line, count, key, half = [], [], [], [], []
-            for i, hashes, a, b in _rows(batch, 2):
-                for k in np.flatnonzero(b - a >= least).tolist():
-                    h = hashes[a[k] : b[k]]
-                    at.append(i)
-                    line.append(k)
-                    count.append(len(h))
-                    key.append(line_hash(h))
-                    half.append(signed(halves(h)) if len(h) >= near - 1 else np.empty(0, np.int64))
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [docs.take(take), rows.take(take), pa.array(line, pa.int32()), pa.array(count, pa.int32()), pa.array(signed(np.array(key, dtype=np.uint64))), list_array(half, pa.int64())],
-                names=["doc_id", "row", "line", "words", "hash", "halves"],
-            )
+            for lo, hashes, row, line, a, b in _chunk_lines(batch.column(2)):
+                long = np.flatnonzero(b - a >= least)
+                row, line, a, b = row[long], line[long], a[long], b[long]
+                key, half = line_hashes(hashes, a, b)
+                n = b - a
+                kept = np.zeros(half.shape, bool)
+                kept[n >= near - 1] = True
+                kept[n % 2 == 1, 2:] = False
+                offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
+                take = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(signed(key)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(half[kept])))],
+                    names=["doc_id", "row", "line", "words", "hash", "halves"],
+                )
 
     return run
 
@@ -125,11 +116,14 @@ def _wanted_lines(make):
         for batch in batches:
             wanted = batch.column(3).to_pylist()
             at, line, got = [], [], []
-            for i, hashes, a, b in _rows(batch, 2):
-                for k in wanted[i]:
-                    at.append(i)
-                    line.append(k)
-                    got.append(signed(make(hashes[a[k] : b[k]])))
+            for lo, hashes, row, _, a, b in _chunk_lines(batch.column(2)):
+                first = np.searchsorted(row, np.arange(int(row[-1]) + 2 if len(row) else 1))
+                for i in range(len(first) - 1):
+                    for k in wanted[lo + i]:
+                        j = first[i] + k
+                        at.append(lo + i)
+                        line.append(k)
+                        got.append(signed(make(hashes[a[j] : b[j]])))
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), list_array(got, pa.int64())], names=["doc_id", "row", "line", "got"])
 
