@@ -185,7 +185,7 @@ def _linked(percent: int):
 def _across(large: DataFrame, sets: DataFrame, links: list[DataFrame], links_of, percent: int) -> list[DataFrame]:
     """Links inside large buckets between members that are still in different components.
 
-    Shingles that no other member of a large bucket has can't be shared, which bounds every
+    Shingles that no other candidate has can't be shared, which bounds every
     intersection from above; only pairs that this bound leaves open are verified.
     """
     union = links[0]
@@ -195,7 +195,7 @@ def _across(large: DataFrame, sets: DataFrame, links: list[DataFrame], links_of,
     state = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter(F.col("r1") < F.col("r2")).select("key")
     open_ = state.join(mixed, "key").select("key", "id", "n", "root")
-    elements = sets.join(large.select("id").distinct(), "id", "left_semi").select("id", F.explode("elements").alias("e"))
+    elements = sets.select("id", F.explode("elements").alias("e"))
     lone = elements.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("lone"))
     shared = written(open_.join(lone, "id", "left").select("key", "id", "n", "root", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m")), "open")
     # Only those that can be linked to anything as large as 80 % of themselves stay.
