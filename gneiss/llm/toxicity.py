@@ -30,7 +30,9 @@ from gneiss.llm.words import _pow, bounded_batches, chunks_with_bytes, list_arra
 #: Labelled documents of each class that training reads at most.
 PER_CLASS = 4000
 PREFIXES = (6, 5, 4)
-DRIFT, PRIOR, Z, LEAST, TOP = 0.4, 200.0, 8.0, 3.0, 8.0
+DRIFT, PRIOR, Z, LEAST, TOP = 0.4, 200.0, 4.5, 3.0, 8.0
+#: A token must occur in this share of the toxic documents; rarer ones come from copies of a few.
+COMMON = 0.03
 #: A segment counts if clean text of this length shows one as good with at most this chance.
 SIGNIFICANT = 0.01
 #: Evidence beyond this changes nothing, so that a few extreme documents don't bend the curve.
@@ -152,7 +154,7 @@ def log_odds(toxic: list[np.ndarray], clean: list[np.ndarray]) -> tuple[np.ndarr
     # The signed root of the likelihood ratio; a deviation from the posterior's variance would be blind to words that clean text never has.
     part = lambda y, n: y * np.log(np.maximum(y, 1e-9) / np.maximum((yt + yc) * n / max(nt + nc, 1), 1e-9))
     z = np.sign(delta) * np.sqrt(np.maximum(2 * (part(yt, nt) + part(yc, nc)), 0))
-    sure = (z >= Z) & (delta >= LEAST) & (keys != 0) & (yt >= 4)
+    sure = (z >= Z) & (delta >= LEAST) & (keys != 0) & (yt >= max(4, COMMON * len(toxic)))
     return keys[sure], np.minimum(delta[sure], TOP)
 
 
