@@ -109,25 +109,31 @@ def _line_table(least: int, near: int):
     return run
 
 
-def _wanted_lines(make):
-    """One output row for each wanted line: its place and what make() gives for its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column(3).to_pylist()
-            at, line, got = [], [], []
-            for lo, hashes, row, _, a, b in _chunk_lines(batch.column(2)):
-                first = np.searchsorted(row, np.arange(int(row[-1]) + 2 if len(row) else 1))
-                for i in range(len(first) - 1):
-                    for k in wanted[lo + i]:
-                        j = first[i] + k
-                        at.append(lo + i)
-                        line.append(k)
-                        got.append(signed(make(hashes[a[j] : b[j]])))
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), list_array(got, pa.int64())], names=["doc_id", "row", "line", "got"])
-
-    return run
+def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One output row for each wanted line: its place and the hashes of its words."""
+    for batch in batches:
+        wanted = batch.column(3).to_pylist()
+        at, line, got = [], [], []
+        for lo, hashes, row, _, a, b in _chunk_lines(batch.column(2)):
+            first = np.searchsorted(row, np.arange(int(row[-1]) + 2 if len(row) else 1))
+            for i in range(len(first) - 1):
+                for k in wanted[lo + i]:
+                    j = first[i] + k
+                    at.append(lo + i)
+                    line.append(k)
+                    got.append(signed(hashes[a[j] : b[j]]))
+        take = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), list_array(got, pa.int64())], names=["doc_id", "row", "line", "got"])
+
+
+def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place of each line with each key of its deletion neighbourhood."""
+    for batch in batches:
+        lines = batch.column(3)
+        keys = [variants(np.asarray(lines[i].values).view(np.uint64)) for i in range(len(lines))]
+        take = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64())
+        flat = signed(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(flat)], names=["doc_id", "row", "line", "key"])
 
 
 def _within_one(x, y):
@@ -156,26 +162,24 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_W
     able = written(firsts.join(able, "hash", "left_semi").select("hash", "doc_id", "row", "line", "words"), "able")
     wanted = able.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))  # bounded by a document's lines
     texts = plain.join(wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("doc_id", "row", "text", "lines")
-    keys = texts.mapInArrow(_wanted_lines(variants), "doc_id bigint, row bigint, line int, got array<bigint>").select(place.alias("at"), F.explode("got").alias("key"))
-    keys = written(keys, "keys")
+    # The texts are dealt out once: both the variants and the check below come from these words.
+    words = written(texts.mapInArrow(_wanted_words, "doc_id bigint, row bigint, line int, got array<bigint>"), "words")
+    keys = written(words.mapInArrow(_variant_keys, "doc_id bigint, row bigint, line int, key bigint").select(place.alias("at"), "key"), "keys")
     best = keys.groupBy("key").agg(F.min("at").alias("to"), F.max("at").alias("far")).filter(F.col("to") < F.col("far")).select("key", "to")
     met = written(keys.join(best, "key").filter(F.col("to") < F.col("at")).select("at", "to").distinct(), "met")
-    gone = _verified(plain, met, near)
+    gone = _verified(words, met, near)
     # Both a line equal to one that goes and a repeat of a kept one go; the first of a class stays only if nothing earlier is near.
     mark = firsts.select("hash", F.struct("doc_id", "row", "line").alias("first")).join(gone.select(F.col("at").alias("first"), F.lit(True).alias("near")), "first", "left")
     out = lines.select("hash", place.alias("at")).join(mark, "hash").filter(F.coalesce("near", F.lit(False)) | (F.col("at") != F.col("first"))).select("at.doc_id", "at.row", "at.line")
     out = written(out, "gone")
-    drop(lines, firsts, able, keys, met)
+    drop(lines, firsts, able, words, keys, met)
     return out
 
 
-def _verified(plain: DataFrame, met: DataFrame, near: int) -> DataFrame:
+def _verified(words: DataFrame, met: DataFrame, near: int) -> DataFrame:
     """The pairs of met that really are within the bound, checked on their words."""
-    ends = met.select("at").union(met.select("to")).distinct().select("at.*")
-    wanted = ends.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines")).toDF("d", "r", "lines")
-    texts = plain.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("doc_id", "row", "text", "lines")
-    words = texts.mapInArrow(_wanted_lines(lambda h: h), "doc_id bigint, row bigint, line int, got array<bigint>").select(F.struct("doc_id", "row", "line").alias("p"), "got").distinct()
-    words = written(words, "words")
+    ends = met.select(F.col("at").alias("p")).union(met.select("to")).distinct()
+    words = words.select(F.struct("doc_id", "row", "line").alias("p"), "got").join(ends, "p", "left_semi").distinct()
     pairs = met.join(words.select(F.col("p").alias("at"), F.col("got").alias("x")), "at").join(words.select(F.col("p").alias("to"), F.col("got").alias("y")), "to")
     longest = F.greatest(F.size("x"), F.size("y"))
     return written(pairs.filter((longest >= near) & _within_one(F.col("x"), F.col("y"))).select("at").distinct(), "verified")
