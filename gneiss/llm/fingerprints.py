@@ -79,8 +79,8 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs (doc_id and columns) with next_<column>: the columns of the next document by ascending doc_id, after the last the first.
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """docs (doc_id, columns and those derived from them) with next_<column>: the columns of the next document by ascending doc_id, after the last the first.
 
     Documents are dealt to ranges of ids by quantiles. The first document of each range is
     sent to the end of the range before, so that no order crosses ranges and no task sees all rows.
@@ -99,16 +99,18 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     heads = heads.groupBy("__r").agg(F.min(order).alias("o")).select("__r", "o.*")
     moved = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
     heads = heads.select("doc_id", *columns, moved[F.col("__r")].alias("__r"), F.lit(1).alias("__extra"))
-    rows = sized.select("doc_id", *columns, "__r", F.lit(0).alias("__extra")).union(heads)
+    # Derived only now: above, they would be computed for every row to find the few heads.
+    derived = derived or {}
+    rows = sized.select("doc_id", *columns, "__r", F.lit(0).alias("__extra")).withColumns(derived).unionByName(heads.withColumns(derived))
     w = Window.partitionBy("__r").orderBy("__extra", F.col("doc_id").asc_nulls_first(), *columns)
-    out = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    out = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in [*columns, *derived]])
     return out.filter("__extra = 0").drop("__r", "__extra")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(rows.withColumn("signs", signatures(F.col("text"))), ["text", "signs"])
+    pairs = with_next(rows, ["text"], {"signs": signatures(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
