@@ -31,6 +31,8 @@ from gneiss.functions.lineage import drop, written
 from gneiss.llm.words import bounded_batches, chunks_with_bytes, column_bytes, list_array, mix, signed
 
 LEAST_WORDS, NEAR_WORDS = 5, 10
+#: Lines whose variants a worker holds at once.
+VARIANT_LINES = 256
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,8 +115,8 @@ def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """One output row for each wanted line: its place and the hashes of its words."""
     for batch in batches:
         wanted = batch.column(3).to_pylist()
-        at, line, got = [], [], []
         for lo, hashes, row, _, a, b in _chunk_lines(batch.column(2)):
+            at, line, got = [], [], []
             first = np.searchsorted(row, np.arange(int(row[-1]) + 2 if len(row) else 1))
             for i in range(len(first) - 1):
                 for k in wanted[lo + i]:
@@ -122,18 +124,19 @@ def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     at.append(lo + i)
                     line.append(k)
                     got.append(signed(hashes[a[j] : b[j]]))
-        take = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), list_array(got, pa.int64())], names=["doc_id", "row", "line", "got"])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), list_array(got, pa.int64())], names=["doc_id", "row", "line", "got"])
 
 
 def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The place of each line with each key of its deletion neighbourhood."""
-    for batch in batches:
-        lines = batch.column(3)
-        keys = [variants(np.asarray(lines[i].values).view(np.uint64)) for i in range(len(lines))]
-        take = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64())
-        flat = signed(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(flat)], names=["doc_id", "row", "line", "key"])
+    """The place of each line with each key of its deletion neighbourhood, VARIANT_LINES lines at a time."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, VARIANT_LINES):
+            batch = whole.slice(lo, VARIANT_LINES)
+            lines = batch.column(3)
+            keys = [variants(np.asarray(lines[i].values).view(np.uint64)) for i in range(len(lines))]
+            take = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(signed(np.concatenate(keys)))], names=["doc_id", "row", "line", "key"])
 
 
 def _within_one(x, y):
@@ -167,12 +170,13 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_W
     keys = written(words.mapInArrow(_variant_keys, "doc_id bigint, row bigint, line int, key bigint").select(place.alias("at"), "key"), "keys")
     best = keys.groupBy("key").agg(F.min("at").alias("to"), F.max("at").alias("far")).filter(F.col("to") < F.col("far")).select("key", "to")
     met = written(keys.join(best, "key").filter(F.col("to") < F.col("at")).select("at", "to").distinct(), "met")
+    drop(able, keys)  # as soon as nothing reads them: they are the largest tables here
     gone = _verified(words, met, near)
     # Both a line equal to one that goes and a repeat of a kept one go; the first of a class stays only if nothing earlier is near.
     mark = firsts.select("hash", F.struct("doc_id", "row", "line").alias("first")).join(gone.select(F.col("at").alias("first"), F.lit(True).alias("near")), "first", "left")
     out = lines.select("hash", place.alias("at")).join(mark, "hash").filter(F.coalesce("near", F.lit(False)) | (F.col("at") != F.col("first"))).select("at.doc_id", "at.row", "at.line")
     out = written(out, "gone")
-    drop(lines, firsts, able, words, keys, met)
+    drop(lines, firsts, words, met)
     return out
 
 
