@@ -161,32 +161,37 @@ def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
     out = [found.filter(_linked(percent)).select("a", "b")]
     if large.isEmpty():
         return out
-    # A member of many large buckets is near the middle of its group and reaches most others at once.
-    large = written(large.join(large.groupBy("id").agg(F.count("*").alias("weight")), "id"), "large")
+    # Shingles that no other candidate has can't be shared: m is what an intersection can hold at most.
+    # A member with the smallest share of them is near the middle of its group and reaches most others at once.
+    elements = sets.select("id", F.explode("elements").alias("e"))
+    lone = elements.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("lone"))
+    m = F.col("n") - F.coalesce("lone", F.lit(0))
+    large = written(large.join(lone, "id", "left").select("key", "id", "n", m.alias("m"), F.floor(m * 1_000_000 / F.col("n")).alias("weight")), "large")
     left = large
     for _ in range(PIVOTS):
         best = F.struct("weight", F.xxhash64("id"), "id")
-        pivots = left.groupBy("key").agg(F.max_by(F.struct("id", "n"), best).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
+        pivots = left.groupBy("key").agg(F.max_by(F.struct("id", "n", "weight"), best).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.weight").alias("pw"))
         near = large.join(pivots, "key").filter((F.col("id") != F.col("pivot")) & _similar("n", "pn", percent))
-        ball = links_of(near.select(*_pair("id", "pivot")).distinct()).filter(_linked(percent)).select("a", "b")
+        # One pivot a member and round, the most central of its buckets': what this leaves apart is compared by components.
+        chosen = near.groupBy("id").agg(F.max(F.struct("pw", F.xxhash64("pivot").alias("h"), "pivot")).alias("c")).select("id", F.col("c.pivot").alias("pivot"))
+        ball = links_of(chosen.select(*_pair("id", "pivot")).distinct()).filter(_linked(percent)).select("a", "b")
         out.append(ball)
-        ways = ball.select(F.col("a").alias("pivot"), F.col("b").alias("id")).union(ball.select("b", "a"))
-        rest = left.join(pivots, "key").filter(F.col("id") != F.col("pivot")).join(ways, ["pivot", "id"], "left_anti")
+        reached = ball.select(F.col("a").alias("id")).union(ball.select("b")).distinct()
+        rest = left.join(reached, "id", "left_anti")
         left = written(rest.select("key", "id", "n", "weight"), "outside")
         if left.isEmpty():
             break
-    return out + _across(large, sets, out, links_of, percent)
+    return out + _across(large, out, links_of, percent)
 
 
 def _linked(percent: int):
     return F.col("inter") * 100 >= F.col("total") * percent
 
 
-def _across(large: DataFrame, sets: DataFrame, links: list[DataFrame], links_of, percent: int) -> list[DataFrame]:
+def _across(large: DataFrame, links: list[DataFrame], links_of, percent: int) -> list[DataFrame]:
     """Links inside large buckets between members that are still in different components.
 
-    Shingles that no other candidate has can't be shared, which bounds every
-    intersection from above; only pairs that this bound leaves open are verified.
+    m bounds every intersection from above; only pairs that this bound leaves open are verified.
     """
     union = links[0]
     for x in links[1:]:
@@ -194,10 +199,7 @@ def _across(large: DataFrame, sets: DataFrame, links: list[DataFrame], links_of,
     roots = components(union)
     state = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter(F.col("r1") < F.col("r2")).select("key")
-    open_ = state.join(mixed, "key").select("key", "id", "n", "root")
-    elements = sets.select("id", F.explode("elements").alias("e"))
-    lone = elements.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("lone"))
-    shared = written(open_.join(lone, "id", "left").select("key", "id", "n", "root", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m")), "open")
+    shared = written(state.join(mixed, "key").select("key", "id", "n", "root", "m"), "open")
     # Only those that can be linked to anything as large as 80 % of themselves stay.
     able = shared.filter(F.col("m") * 100 >= F.col("n") * percent)
     y = able.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("m").alias("m2"))
