@@ -164,9 +164,13 @@ def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
     # Shingles that no other candidate has can't be shared: m is what an intersection can hold at most.
     # A member with the smallest share of them is near the middle of its group and reaches most others at once.
     elements = sets.select("id", F.explode("elements").alias("e"))
-    lone = elements.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("lone"))
-    m = F.col("n") - F.coalesce("lone", F.lit(0))
-    large = written(large.join(lone, "id", "left").select("key", "id", "n", m.alias("m"), F.floor(m * 1_000_000 / F.col("n")).alias("weight")), "large")
+    # Up to three holders of a shingle are told by its smallest and largest id and the exclusive or of all.
+    held = elements.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("x")).filter("c <= 3")
+    ids = F.when(F.col("c") == 3, F.array("lo", F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi")), "hi")).when(F.col("c") == 2, F.array("lo", "hi")).otherwise(F.array("lo"))
+    few = written(held.groupBy(ids.alias("ids")).agg(F.count("*").alias("shingles")), "few")
+    rare = few.select(F.explode("ids").alias("id"), F.when(F.size("ids") == 1, F.col("shingles")).otherwise(0).alias("lone"), "shingles").groupBy("id").agg(F.sum("lone").alias("lone"), F.sum("shingles").alias("rare"))
+    m, common = (F.col("n") - F.coalesce(c, F.lit(0)) for c in ("lone", "rare"))
+    large = written(large.join(rare, "id", "left").select("key", "id", "n", m.alias("m"), common.alias("common"), F.floor(m * 1_000_000 / F.col("n")).alias("weight")), "large")
     left = large
     for _ in range(PIVOTS):
         best = F.struct("weight", F.xxhash64("id"), "id")
@@ -181,17 +185,19 @@ def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
         left = written(rest.select("key", "id", "n", "weight"), "outside")
         if left.isEmpty():
             break
-    return out + _across(large, out, links_of, percent)
+    return out + _across(large, few, out, links_of, percent)
 
 
 def _linked(percent: int):
     return F.col("inter") * 100 >= F.col("total") * percent
 
 
-def _across(large: DataFrame, links: list[DataFrame], links_of, percent: int) -> list[DataFrame]:
+def _across(large: DataFrame, few: DataFrame, links: list[DataFrame], links_of, percent: int) -> list[DataFrame]:
     """Links inside large buckets between members that are still in different components.
 
-    m bounds every intersection from above; only pairs that this bound leaves open are verified.
+    Two members that share no shingle of up to three holders have common ones only, which bounds their
+    intersection from above; those that do share one are met by it, and m bounds theirs. Only pairs
+    that these bounds leave open are verified.
     """
     union = links[0]
     for x in links[1:]:
@@ -199,13 +205,18 @@ def _across(large: DataFrame, links: list[DataFrame], links_of, percent: int) ->
     roots = components(union)
     state = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter(F.col("r1") < F.col("r2")).select("key")
-    shared = written(state.join(mixed, "key").select("key", "id", "n", "root", "m"), "open")
+    shared = written(state.join(mixed, "key").select("key", "id", "n", "root", "m", "common"), "open")
     # Only those that can be linked to anything as large as 80 % of themselves stay.
     able = shared.filter(F.col("m") * 100 >= F.col("n") * percent)
-    y = able.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("m").alias("m2"))
-    bound = F.least("m", "m2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-    pairs = able.join(y, "key").filter((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & bound)
-    seen = links_of(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
+    other = lambda x, *key: x.select(*key, F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("m").alias("m2"), F.col("common").alias("common2"))
+    bound = lambda x, y: F.least(x, y) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    apart = F.col("root") != F.col("root2")
+    by_key = able.join(other(able, "key"), "key").filter((F.col("id") < F.col("id2")) & apart & bound("common", "common2")).select("id", "id2")
+    each = able.drop("key").distinct()
+    met = few.filter(F.size("ids") > 1).select(F.explode(F.array(*[F.struct(F.get("ids", F.lit(i)).alias("id"), F.get("ids", F.lit(j)).alias("id2")) for i, j in ((0, 1), (1, 2), (0, 2))])).alias("p")).select("p.*").dropna().distinct()
+    by_few = met.join(each, "id").join(other(each), "id2").filter(apart & bound("m", "m2")).select("id", "id2")
+    pairs = by_key.union(by_few)
+    seen = links_of(pairs.select(*_pair("id", "id2")).distinct())
     return [seen.filter(_linked(percent)).select("a", "b")]
 
 
