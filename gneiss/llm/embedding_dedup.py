@@ -3,7 +3,13 @@
 Equal vectors are one class. In each pass the classes are put in the lexicographic order of BITS
 concatenated random sign hashes and every class is compared with its WINDOW neighbours on either
 side; the order is global, and the ends of the parts it is dealt in are compared with each other.
-Cosines are in double precision. Verified pairs of all passes are united.
+Cosines are in double precision. Verified pairs of all passes are united. A table of more classes gets more
+passes (passes_for()), so that an isolated pair at the threshold is missed with a chance of about MISS,
+reckoned for classes that spread evenly over the hashes.
+
+Windows cannot hold all links of a large group. So all classes of a component are then compared with
+each other exactly, in tiles of at most TILE_MAX classes a side; only counts leave a tile. Direct links
+inside a component are therefore complete, at a cost of the square of its classes.
 
 n_links counts the other vectors linked directly, those in linked classes each. Rows: vectors that
 are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors
@@ -13,6 +19,7 @@ component. Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +33,10 @@ from gneiss.llm.components import components
 
 PASSES, WINDOW, BITS, SEED = 24, 64, 63, 11
 THRESHOLD = 0.9
+#: Chance that the passes miss an isolated pair whose cosine is the threshold.
+MISS = 1e-4
+#: Classes on a side of a tile: TILE for components of up to TILE * TILES, then more, up to TILE_MAX.
+TILE, TILES, TILE_MAX = 512, 64, 16384
 
 _OUT = "a bigint, b bigint, edge bigint, side int, pos int, pass int, vec array<float>"
 
@@ -134,7 +145,74 @@ def _across(window: int, threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, bits: int = BITS) -> DataFrame:
+def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> int:
+    """Passes for n classes: a pass finds a pair that agrees in the bits which leave about a window of classes."""
+    found = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** max(0.0, math.log2(max(n, 1) / window))
+    return max(PASSES, math.ceil(math.log(MISS) / math.log1p(-found))) if found < 1 else PASSES
+
+
+def _tile_counts(threshold: float):
+    """(rep, others): how many rows the classes linked with each class of a tile stand for. Rows come sorted by tile."""
+
+    def counted(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        tile = pa.Table.from_batches(rows)
+        i, j, own, ids, copies = (tile.column(c).to_numpy() for c in range(1, 6))
+        x = np.stack(_matrix(tile.column(6))).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        left = np.flatnonzero(own == i[0])
+        right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
+        others = np.zeros(len(ids), np.int64)
+        y, weight = x[right].T, copies[right]
+        for lo in range(0, len(left), TILE):
+            at = left[lo : lo + TILE]
+            near = x[at] @ y >= threshold
+            if i[0] == j[0]:
+                near[np.arange(len(at)), np.arange(lo, lo + len(at))] = False
+            else:
+                others[right] += copies[at] @ near
+            others[at] += near @ weight
+        return ids, others
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out(done):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[k] for d in done]), pa.int64()) for k in (0, 1)], names=["rep", "others"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(tile, axis=1) != 0).any(axis=0)) + 1, [batch.num_rows]])
+            done = []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                this = tuple(tile[:, lo].tolist())
+                if held and this != key:
+                    done.append(counted(held))
+                    held = []
+                key = this
+                held.append(batch.slice(lo, hi - lo))
+            if done:
+                yield out(done)
+        if held:
+            yield out([counted(held)])
+
+    return run
+
+
+def _links_inside(reps: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(rep, others) of every class in a component, from exact comparison with all classes of the component."""
+    inside = roots.select(F.col("node").alias("vec_id"), "root").union(roots.select("root", "root").distinct())
+    sizes = inside.groupBy("root").agg(F.count("*").alias("n")).select("root", F.greatest(F.least(F.ceil(F.col("n") / TILE), F.lit(TILES)), F.ceil(F.col("n") / TILE_MAX)).cast("int").alias("chunks"))
+    own = inside.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+    rows = reps.select("vec_id", "copies", "vec").join(own, "vec_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "copies", "vec")
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(_tile_counts(threshold), "rep bigint, others bigint").groupBy("rep").agg(F.sum("others").alias("others"))
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, bits: int = BITS) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable over links, itself included), kept."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
@@ -145,7 +223,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
     member = written(keyed.join(classes, "k", "left").select("vec_id", "rep", "copies", F.when(F.col("vec_id") == F.col("rep"), F.col("vec")).alias("vec")), "members")
     drop(keyed)
     reps = member.filter("vec is not null").dropDuplicates(["vec_id"])
-    sized = reps.select("vec_id", "copies")
+    if passes is None:
+        passes = passes_for(reps.count(), threshold, window)
     hashed = reps.select(F.col("vec_id").alias("id"), "vec").mapInArrow(_keys(passes, bits), "pass int, dim int, key bigint, id bigint, vec array<float>")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = hashed.repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
@@ -154,8 +233,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
     links = written(found.filter("edge is null").select("a", "b").union(ends).distinct(), "pairs")
     drop(found)
     roots = components(links)
-    both = links.union(links.select("b", "a"))
-    counts = both.join(sized.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "rep")
+    counts = _links_inside(reps, roots, threshold)
     out = member.select("vec_id", "rep", "copies").join(counts, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep", "vec_id")
     n = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("bigint")

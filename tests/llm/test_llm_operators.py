@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions.lineage import written
-from gneiss.llm import fingerprints, html_extract, minhash_dedup, mixing, ngram_lm, packing, quality, toxicity
+from gneiss.llm import embedding_dedup, fingerprints, html_extract, minhash_dedup, mixing, ngram_lm, packing, quality, toxicity
 from gneiss.llm.components import components
 from gneiss.llm.embedding_dedup import near_vectors
 from gneiss.llm.line_dedup import dedup_lines, line_counts
@@ -319,6 +319,23 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_of_a_group_larger_than_the_windows(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 50)  # several tiles
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=16) + 0.25 * rng.normal(size=(400, 16))).astype(np.float32)
+    x = np.concatenate([x, x[:2]])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, passes=8, window=8).collect()}
+    assert want.max() > 8 * 16 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_passes_grow_with_the_table():
+    assert embedding_dedup.passes_for(0) == embedding_dedup.passes_for(1000) == 24
+    assert 24 < embedding_dedup.passes_for(50_000) < embedding_dedup.passes_for(500_000) < embedding_dedup.passes_for(50_000_000)
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
