@@ -4,11 +4,13 @@ A line's words are the symbols; the edit bound is one word inserted, deleted or
 at least NEAR_WORDS words (so that at least nine tenths agree). Shorter lines must be equal, and
 lines of fewer than LEAST_WORDS words are left alone. Every line emits its deletion
 neighbourhood as hashed keys: the line itself, and each variant with one word deleted, keyed with
-the place of the deletion. Two lines share a variant at one place exactly if one word is replaced, and
-a variant equals the other line exactly if one word is inserted; so a key's lines all lie within the
-bound of each other and the earliest of a key is found by a plain minimum, combined before
-the shuffle, however many lines share the key. Each line is then held against the earliest line it
-met, word by word, before it goes.
+the place of the deletion. Two lines share a variant at one place exactly if one word is replaced; so the
+lines of a key with a place all lie within the bound of each other, and each meets the earliest. A variant
+equals the other line exactly if one word is inserted; so a key without a place is that of one line
+and of all that are one word longer, which may be two edits from each other: each longer line meets
+the shorter one, and the shorter one the earliest longer one. All are plain minima, combined before
+the shuffle, however many lines share the key. Each line is then held against the lines it met, word
+by word, before it goes.
 
 Only lines that share their first or last half (by word count) with a different line can be within the
 bound, so that the others emit no variants. Earliest: by doc_id, then line number.
@@ -129,14 +131,19 @@ def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The place of each line with each key of its deletion neighbourhood, VARIANT_LINES lines at a time."""
+    """The place of each line with each key of its deletion neighbourhood, VARIANT_LINES lines at a time.
+    kind: 0 for a key with a place, 1 for one without, 2 for the line's own."""
     for whole in batches:
         for lo in range(0, whole.num_rows, VARIANT_LINES):
             batch = whole.slice(lo, VARIANT_LINES)
             lines = batch.column(3)
             keys = [variants(np.asarray(lines[i].values).view(np.uint64)) for i in range(len(lines))]
-            take = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(signed(np.concatenate(keys)))], names=["doc_id", "row", "line", "key"])
+            sizes = np.array([len(k) for k in keys])
+            take = pa.array(np.repeat(np.arange(len(keys)), sizes), pa.int64())
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kind = (place >= np.repeat([len(lines[i]) for i in range(len(lines))], sizes)).astype(np.int8)
+            kind[np.cumsum(sizes) - 1] = 2
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(signed(np.concatenate(keys))), pa.array(kind)], names=["doc_id", "row", "line", "key", "kind"])
 
 
 def _within_one(x, y):
@@ -167,9 +174,12 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_W
     texts = plain.join(wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("doc_id", "row", "text", "lines")
     # The texts are dealt out once: both the variants and the check below come from these words.
     words = written(texts.mapInArrow(_wanted_words, "doc_id bigint, row bigint, line int, got array<bigint>"), "words")
-    keys = written(words.mapInArrow(_variant_keys, "doc_id bigint, row bigint, line int, key bigint").select(place.alias("at"), "key"), "keys")
-    best = keys.groupBy("key").agg(F.min("at").alias("to"), F.max("at").alias("far")).filter(F.col("to") < F.col("far")).select("key", "to")
-    met = written(keys.join(best, "key").filter(F.col("to") < F.col("at")).select("at", "to").distinct(), "met")
+    keys = written(words.mapInArrow(_variant_keys, "doc_id bigint, row bigint, line int, key bigint, kind tinyint").select(place.alias("at"), "key", "kind"), "keys")
+    # own: the line that a key without a place is the key of; first: the earliest of the others.
+    best = keys.groupBy("key").agg(F.min(F.when(F.col("kind") < 2, F.col("at"))).alias("first"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("own"), F.max("at").alias("far"), F.min("kind").alias("least"))
+    best = best.filter(F.when(F.col("least") == 0, F.col("first") < F.col("far")).otherwise(F.col("first").isNotNull() & F.col("own").isNotNull())).select("key", "first", "own")
+    met = keys.join(best, "key").select("at", F.when(F.col("kind") == 1, F.col("own")).otherwise(F.col("first")).alias("to"))
+    met = written(met.filter(F.col("to") < F.col("at")).distinct(), "met")
     drop(able, keys)  # as soon as nothing reads them: they are the largest tables here
     gone = _verified(words, met, near)
     # Both a line equal to one that goes and a repeat of a kept one go; the first of a class stays only if nothing earlier is near.

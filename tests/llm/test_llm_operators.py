@@ -138,6 +138,29 @@ def test_lines(spark, odd, nothing):
     assert dedup_lines(nothing).count() == 0
 
 
+def within_one_word(x, y):
+    if len(x) == len(y):
+        return sum(u != v for u, v in zip(x, y, strict=True)) <= 1
+    x, y = sorted((x, y), key=len)
+    return len(y) == len(x) + 1 and any(y[:k] + y[k + 1 :] == x for k in range(len(y)))
+
+
+def test_near_lines_against_brute_force(spark):
+    z = [f"w{i}" for i in range(12)]
+    lines = [[*z[:3], "a", *z[3:]], z, [*z[:9], "b", *z[9:]]]  # the third is two edits from the first, one from the second
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        x = list(lines[rng.integers(len(lines))])
+        for _ in range(rng.integers(1, 3)):
+            k, new = rng.integers(len(x)), [f"v{rng.integers(4)}"]
+            x[k : k + rng.integers(2)] = new if rng.random() < 0.6 or len(x) < 11 else []
+        lines.append(x)
+    want = [i for i, x in enumerate(lines) if any(x == y or (max(len(x), len(y)) >= 10 and within_one_word(x, y)) for y in lines[:i])]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in line_counts(df).filter("n_dropped > 0").collect())
+    assert {1, 2} <= set(want) and len(want) < len(lines) - 3 and got == want
+
+
 # -- 1 -----------------------------------------------------------------------
 
 
