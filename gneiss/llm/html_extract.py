@@ -1,18 +1,20 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Every page gives tokens: its tags in their path, and its blocks of text in their path. A token's
-occurrence vector over a host's pages is summed up as the xor of a hash of (page, count) over
-pages; tokens of a host with equal vectors are an equivalence class. A class of at least two tokens that
-most pages of the host share is valid; its tags form the host's template, nested by their paths, and
-its texts are the template's constant text. What lies between template tags are slots; a page's
-slots are read off by the innermost template tag around each block. Constant text goes, and so do
-slots whose tag or name marks a menu, header, footer, sidebar, notice, advert, form, script, style or
-reader comments. If the page has an article (or main) slot, blocks outside it go; otherwise blocks
-that are mostly links go. Hosts with fewer than LEAST_PAGES pages have no template: the rules on slots
-then work on the page's own tags.
-
-Occurrences are combined on each executor before they are shuffled, and a host's template is no
-larger than a page, so that a host with a third of all pages is one small row.
+occurrence vector over a host's distinct pages (by their html; copies count once) is summed up as the
+xor of a hash of (page, count) over pages; tokens of a host with equal vectors are an equivalence
+class. A class of at least two tokens that most distinct pages of the host share is valid, and its texts
+are the host's constant text. The tags of a class only help to make it valid: they are not nested, and
+pages are not cut into slots by them.
+
+Constant text goes, unless nothing else would be left of the page, and so do containers whose tag or
+name marks a menu, header, footer, sidebar, notice, advert, form, script, style or reader comments.
+If the page has an article (or main), blocks
+outside it go; otherwise blocks that are mostly links go. Hosts with fewer than LEAST_PAGES distinct
+pages have no constant text.
+
+Pages are told apart by their tokens' rows, one for each distinct page; occurrences are then combined on
+each executor before they are shuffled, and a host's template is no larger than a page, so that a host with a third of all pages is one small row.
 
 Rows: null or empty html gives an empty text. A null url counts as the host "". Repeated rows and page
 ids are separate pages. Unclosed and stray tags are tolerated. Extra columns are ignored.
@@ -31,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.words import bounded_batches, mix, signed
+from gneiss.functions.lineage import written
+from gneiss.llm.words import bounded_batches, list_array, mix, signed
 
 LEAST_PAGES, SHARE = 8, 0.6
 
@@ -126,40 +129,57 @@ def _barred(path: str) -> bool:
     return False
 
 
+def _content(blocks: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    kept = [b for b in blocks if not _barred(b[0])]
+    inner = [b for b in kept if any(s.split(".")[0] in _CONTENT for s in b[0].split("/"))]
+    return inner or [b for b in kept if b[2] <= 0.5]
+
+
 def main_text(source: str, template: frozenset[int] = frozenset()) -> str:
-    """The blocks of the content slots, two line feeds apart."""
+    """The blocks of the content, two line feeds apart."""
     blocks, _ = parse(source)
-    kept = []
-    for path, text, links in blocks:
-        if template and _token("b", f"{path} {text}") in template:
-            continue
-        if not _barred(path):
-            kept.append((path, text, links))
-    inner = [b for b in kept if any(s.split(".")[0] in _CONTENT for s in b[0].split("/"))]
-    kept = inner or [b for b in kept if b[2] <= 0.5]
-    return "\n\n".join(t for _, t, _ in kept)
+    rest = [b for b in blocks if _token("b", f"{b[0]} {b[1]}") not in template] if template else blocks
+    return "\n\n".join(t for _, t, _ in _content(rest) or _content(blocks))
 
 
 def _host(url: str) -> str:
     return (url or "").split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, vector, pages), summed over each batch; token 0 counts the host's pages."""
+def _distinct_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, tokens) for the distinct pages of each batch; a token comes as often as it occurs on the page."""
     for batch in batches:
-        hosts, tokens, vectors = [], [], []
-        for page, url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found = page_tokens(source or "")
-            host = zlib.crc32(_host(url).encode())
+        hosts = [zlib.crc32(_host(url).encode()) for url in batch.column(0).to_pylist()]
+        pages = batch.column(2).to_pylist()
+        first = list({(h, p): i for i, (h, p) in reversed(list(enumerate(zip(hosts, pages, strict=True))))}.values())
+        tokens = []
+        for i in first:
+            found = page_tokens(batch.column(1)[i].as_py() or "")
             keys = np.fromiter(found.keys(), np.uint64, len(found))
-            counts = np.fromiter(found.values(), np.uint64, len(found))
-            own = np.uint64(zlib.crc32(repr((page, url)).encode()))
-            tokens.append(np.concatenate([np.zeros(1, np.uint64), keys]))
-            vectors.append(mix(np.concatenate([np.ones(1, np.uint64), counts]) * np.uint64(0x9E3779B97F4A7C15) + own))
-            hosts.append(np.full(len(keys) + 1, host, np.int64))
-        if not hosts:
+            tokens.append(signed(np.repeat(keys, np.fromiter(found.values(), np.int64, len(found)))))
+        yield pa.RecordBatch.from_arrays([pa.array([hosts[i] for i in first], pa.int64()), pa.array([pages[i] for i in first], pa.int64()), list_array(tokens, pa.int64())], names=["host", "page", "tokens"])
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, token, vector, pages), summed over each batch; token 0 counts the host's pages. Rows come sorted by host and page."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        host, page = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.concatenate([[last != (host[0], page[0])], (host[1:] != host[:-1]) | (page[1:] != page[:-1])])
+        last = (host[-1], page[-1])
+        batch = batch.filter(pa.array(new))
+        host, page, n = host[new], page[new].view(np.uint64), batch.num_rows
+        row = np.repeat(np.arange(n), batch.column(2).value_lengths().to_numpy())
+        row, t = np.concatenate([np.arange(n), row]), np.concatenate([np.zeros(n, np.uint64), batch.column(2).flatten().to_numpy().view(np.uint64)])
+        order = np.lexsort((t, row))
+        row, t = row[order], t[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), (row[1:] != row[:-1]) | (t[1:] != t[:-1])]))
+        counts = np.diff(np.concatenate([first, [len(t)]])).astype(np.uint64)
+        h, t, v = host[row[first]], t[first], mix(counts * np.uint64(0x9E3779B97F4A7C15) + page[row[first]])
+        if not len(h):
             continue
-        h, t, v = np.concatenate(hosts), np.concatenate(tokens), np.concatenate(vectors)
         order = np.lexsort((t, h))
         h, t, v = h[order], t[order], v[order]
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]))
@@ -169,8 +189,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """(host, tokens): the tokens of each host's valid equivalence classes."""
-    counted = pages.mapInArrow(_occurrences, "host bigint, token bigint, vector bigint, pages bigint").groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"))
-    # Only tokens that occur on several pages can be part of a template.
+    distinct = pages.select("url", "html", F.xxhash64("html").alias("page")).mapInArrow(_distinct_pages, "host bigint, page bigint, tokens array<bigint>")
+    dealt = distinct.repartition("host", "page").sortWithinPartitions("host", "page")
+    counted = dealt.mapInArrow(_occurrences, "host bigint, token bigint, vector bigint, pages bigint").groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"))
+    counted = written(counted.filter((F.col("token") == 0) | (F.col("pages") > 1)), "occurrences")
     counted = counted.filter((F.col("token") == 0) | (F.col("pages") >= least * share))
     of_host = counted.filter("token = 0").filter(F.col("pages") >= least).select("host", F.col("pages").alias("all"))
     often = counted.filter("token <> 0").join(of_host, "host").filter(F.col("pages") >= F.col("all") * share)

@@ -407,3 +407,13 @@ def test_pages(spark):
     assert got[20]["text"] == "Only this <here>" and got[23]["text"] == "plain text" and got[24]["text"] == "Real text stays"
     assert got[21]["text"] == got[22]["text"] == "" and got[21]["n_chars"] == 0
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = lambda i: f"<nav>Home</nav><article><h1>Title {i}</h1><p>First line {i}</p><p>Second line {i}</p></article>"
+    rows = [(i, f"https://a.example/{i}", page(max(0, i - 6))) for i in range(10)]  # seven copies
+    rows += [(100 + i, f"https://b.example/{i}", page(max(0, i - 14))) for i in range(24)]  # fifteen copies, ten pages
+    rows += [(200 + i, f"https://c.example/{i}", page(0).replace("<nav>", f"<nav>{i} ")) for i in range(9)]  # nothing else on any page
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i, n in [*((i, max(0, i - 6)) for i in range(10)), *((100 + i, max(0, i - 14)) for i in range(24)), *((200 + i, 0) for i in range(9))]:
+        assert got[i] == f"Title {n}\n\nFirst line {n}\n\nSecond line {n}", i
