@@ -9,7 +9,8 @@ pages are not cut into slots by them.
 
 Constant text goes, unless nothing else would be left of the page, and so do containers whose tag or
 name marks a menu, header, footer, sidebar, notice, advert, form, script, style or reader comments.
-If the page has an article (or main), blocks
+A form or a name marks nothing where the container is a wrapper (_wrappers()), nor does a name on
+a heading, body or main, or after "has", "no" or "with". If the page has an article (or main), blocks
 outside it go; otherwise blocks that are mostly links go. Hosts with fewer than LEAST_PAGES distinct
 pages have no constant text.
 
@@ -50,6 +51,10 @@ _CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th",
 _BARRED = frozenset("nav footer aside form head menu button dialog".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification popup promo promoted related reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary search login disclaimer alert".split())
 _CONTENT = ("article", "main")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Steps whose names say nothing about what they are, and words that turn a name into one of another container.
+_UNNAMED = _HEADINGS | {"html", "body", "main"}
+_MODIFIERS = frozenset("has no with without".split())
 
 
 def parse(source: str) -> tuple[list[tuple[str, str, float]], list[str]]:
@@ -119,18 +124,55 @@ def page_tokens(source: str) -> Counter:
     return Counter([_token("t", p) for p in tags] + [_token("b", f"{p} {t}") for p, t, _ in blocks])
 
 
-def _barred(path: str) -> bool:
-    inside = False
+def _named(tag: str, names: list[str]) -> bool:
+    """Whether a step's names mark it as something else than content."""
+    if tag in _UNNAMED:
+        return False
+    words = zip(["", *names], names, [*names[1:], ""], strict=False)
+    return any(n in _NAMES and before not in _MODIFIERS and not (n == "search" and after in ("result", "results")) for before, n, after in words)
+
+
+def _steps(path: str) -> list[tuple[str, str, list[str]]]:
+    """(path so far, tag, names) of each step."""
+    out, so_far = [], ""
     for step in path.split("/")[1:]:
+        so_far += f"/{step}"
         tag, *names = step.split(".")
-        if tag in _BARRED or (tag == "header" and not inside) or any(n in _NAMES for n in names):
+        out.append((so_far, tag, names))
+    return out
+
+
+def _wrappers(blocks: list[tuple[str, str, float]]) -> set[str]:
+    """Containers that hold the article: most of the page's text (that in articles, if there are any; headings don't
+    count), and an article, main or h1 below them."""
+    paths = [(_steps(p), len(t)) for p, t, _ in blocks]
+    paths = [(s, n) for s, n in paths if not any(tag in _BARRED and tag != "form" for _, tag, _ in s)]
+    paths = [x for x in paths if any(tag in _CONTENT for _, tag, _ in x[0])] or paths
+    held, below, total = Counter(), set(), 0
+    for steps, n in paths:
+        for k, (_, tag, _) in enumerate(steps):
+            if tag in _CONTENT or tag == "h1":
+                below.update(p for p, _, _ in steps[:k])
+        if steps and steps[-1][1] not in _HEADINGS:
+            held.update({p: n for p, _, _ in steps})
+            total += n
+    return {p for p in below if 2 * held[p] > total}
+
+
+def _barred(path: str, wrappers: set[str] | None = None) -> bool:
+    inside = False
+    for so_far, tag, names in _steps(path):
+        if (tag in _BARRED and tag != "form") or (tag == "header" and not inside):
+            return True
+        if (tag == "form" or _named(tag, names)) and so_far not in (wrappers or ()):
             return True
         inside = inside or tag in _CONTENT
     return False
 
 
 def _content(blocks: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
-    kept = [b for b in blocks if not _barred(b[0])]
+    wrappers = _wrappers(blocks)
+    kept = [b for b in blocks if not _barred(b[0], wrappers)]
     inner = [b for b in kept if any(s.split(".")[0] in _CONTENT for s in b[0].split("/"))]
     return inner or [b for b in kept if b[2] <= 0.5]
 

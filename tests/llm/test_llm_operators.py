@@ -409,6 +409,15 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_names_on_wrappers_of_the_article():
+    text = "<h1 class='entry-header'>Title</h1><p>The text of this page is here and it goes on for a while</p>"
+    want = "Title\n\nThe text of this page is here and it goes on for a while"
+    side = "<div class='sidebar'><p>Read this too</p></div>"
+    for page in (f"<body class='has-sidebar'>{text}{side}", f"<body class='no-sidebar'><div class='main with-menu'>{text}</div>{side}", f"<div class='share'><article>{text}</article>{side}</div>", f"<div class='search-result'>{text}</div>{side}", f"<form class='login'><div class='banner'>{text}{side}</div></form>"):
+        assert html_extract.main_text(page) == want, page
+    assert html_extract.main_text(f"<article>{text}</article><div class='related'><article>Teaser</article></div>") == want
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = lambda i: f"<nav>Home</nav><article><h1>Title {i}</h1><p>First line {i}</p><p>Second line {i}</p></article>"
     rows = [(i, f"https://a.example/{i}", page(max(0, i - 6))) for i in range(10)]  # seven copies
