@@ -31,8 +31,10 @@ from gneiss.llm.words import _pow, bounded_batches, chunks_with_bytes, list_arra
 PER_CLASS = 4000
 PREFIXES = (6, 5, 4)
 DRIFT, PRIOR, Z, LEAST, TOP = 0.4, 200.0, 4.5, 3.0, 8.0
-#: A token must occur in this share of the toxic documents; rarer ones come from copies of a few.
-COMMON = 0.03
+#: A token must occur in so many toxic documents that aren't near-copies of each other, whatever the sample's size.
+AT_LEAST = 4
+#: Documents of a class whose sets of tokens have this Jaccard similarity are near-copies: the first counts.
+COPY = 0.8
 #: A segment counts if clean text of this length shows one as good with at most this chance.
 SIGNIFICANT = 0.01
 #: Evidence beyond this changes nothing, so that a few extreme documents don't bend the curve.
@@ -137,8 +139,30 @@ def _training_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), list_array(rows, pa.int64())], names=["y", "parts"])
 
 
+def without_copies(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The documents' sets of keys, without those of near-copies of an earlier one (candidates: equal bands of two minima)."""
+    seeds = mix(np.arange(1, 25, dtype=np.uint64))
+    seen: dict[tuple, int] = {}
+    out: list[np.ndarray] = []
+    for s in map(np.unique, sets):
+        s = s[s != 0]
+        if not len(s):
+            continue
+        least = np.array([mix(s ^ seed).min() for seed in seeds]).reshape(-1, 2)
+        bands = [(k, int(a), int(b)) for k, (a, b) in enumerate(least)]
+        met = {seen[b] for b in bands if b in seen}
+        if any((n := len(np.intersect1d(s, out[i], assume_unique=True))) >= COPY * (len(s) + len(out[i]) - n) for i in met):
+            continue
+        for b in bands:
+            seen.setdefault(b, len(out))
+        out.append(s)
+    return out
+
+
 def log_odds(toxic: list[np.ndarray], clean: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys with significant log-odds, from the sets of keys of documents of both classes."""
+    """Sorted keys with significant log-odds, from the sets of keys of documents of both classes; near-copies count once."""
+    toxic, clean = without_copies(toxic), without_copies(clean)
+
     def counted(sets):
         flat = np.concatenate([np.unique(s) for s in sets]) if sets else np.empty(0, np.uint64)
         return np.unique(flat, return_counts=True)
@@ -154,7 +178,7 @@ def log_odds(toxic: list[np.ndarray], clean: list[np.ndarray]) -> tuple[np.ndarr
     # The signed root of the likelihood ratio; a deviation from the posterior's variance would be blind to words that clean text never has.
     part = lambda y, n: y * np.log(np.maximum(y, 1e-9) / np.maximum((yt + yc) * n / max(nt + nc, 1), 1e-9))
     z = np.sign(delta) * np.sqrt(np.maximum(2 * (part(yt, nt) + part(yc, nc)), 0))
-    sure = (z >= Z) & (delta >= LEAST) & (keys != 0) & (yt >= max(4, COMMON * len(toxic)))
+    sure = (z >= Z) & (delta >= LEAST) & (keys != 0) & (yt >= AT_LEAST)
     return keys[sure], np.minimum(delta[sure], TOP)
 
 

@@ -296,6 +296,16 @@ def test_classifiers(spark, odd, nothing):
     assert quality.good_documents(odd, labels).columns == odd.columns
 
 
+def test_toxic_tokens_at_every_sample_size():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(1000, 3000, 60).astype(np.uint64) for _ in range(2000)]
+    rare, copied = np.array([7], np.uint64), np.array([8], np.uint64)
+    toxic = [np.concatenate([d, rare]) if i < 9 else d for i, d in enumerate(docs[:400])]  # 9 of 400 toxic documents, no clean one
+    toxic += [np.concatenate([docs[0], copied, np.array([5000 + i], np.uint64)]) for i in range(12)]  # near-copies of one document
+    keys, _ = toxicity.log_odds(toxic, docs[400:])
+    assert 7 in keys and 8 not in keys
+
+
 def test_segments_against_all_ranges():
     rng = np.random.default_rng(5)
     for _ in range(200):
