@@ -1,7 +1,7 @@
 """Quality scores of documents by a factorisation machine.
 
-Features are hashed words, binned structure statistics of the text and, if columns are named, hashed
-metadata values. The score is w0 + sum w x + half the sum over factors of ((sum v x)^2 - sum v^2 x^2),
+Features are hashed words and binned structure statistics of the text. features() can add hashed
+metadata values, but training and scoring give it none. The score is w0 + sum w x + half the sum over factors of ((sum v x)^2 - sum v^2 x^2),
 linear in the number of features, through a sigmoid. The model is trained on a bounded sample
 of labelled documents (PER_CLASS for each label); every document is scored from its whole text.
 
