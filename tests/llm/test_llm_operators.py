@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -189,6 +190,37 @@ def test_mix(docs, odd, nothing):
     assert sum(len(words(r["text"])) for r in texts.collect()) == sum(r["taken"] for r in out)
 
 
+def test_mix_of_sources_without_words(spark):
+    rows = [(1, "a b c " * 40, "x"), (2, "", "empty"), (3, None, "empty"), (4, None, None), (5, "d\n e" * 50, "y"), (5, "d\n e" * 50, "y"), (None, "f g", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_words(df).collect()
+    assert len(got) == 7 and {(r["doc_id"], r["source_size"], r["target"], r["taken"]) for r in got if r["doc_id"] in (2, 3, 4)} == {(2, 0, 0.0, 0), (3, 0, 0.0, 0), (4, 0, 0.0, 0)}
+    assert all(r["taken"] <= 3 * r["size"] for r in got) and sum(r["target"] for r in got if r["doc_id"] in (1, None)) == sum(r["size"] for r in got)
+    texts = mixing.mixed_documents(df, block=4)
+    assert sum(len(words(r["text"])) for r in texts.collect()) == sum(r["taken"] for r in mixing.mix_words(df, block=4).collect())
+    whole = {i: words(t) for i, t, _ in rows}
+    assert all(set(words(r["text"])) <= set(whole[r["doc_id"]]) and "\n" in r["text"] for r in texts.filter("doc_id = 5").collect())
+
+
+def test_mix_deals_texts_out_once(docs):
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    # One exchange holds the texts: that of the window on the two hashes, which the join uses as it is. The other is that of the runs.
+    exchanges = re.findall(r"Exchange hashpartitioning\(((?:__k1|__g1)[^)]*)\)", plan)
+    assert sorted(len(x.split(", ")) for x in exchanges if "pass" not in x) == [3] and "Cartesian" not in plan
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:03}": (i * 37 % 90) ** 2 for i in range(300)}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).orderBy("source").collect()
+    weight, cap = np.array([(5, 2, 1)[i % 3] for i in range(300)], float), 3.0 * np.array(list(sizes.values()))
+    lo, hi = 0.0, float(cap.max())
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.minimum(cap, mid * weight).sum() < sum(sizes.values()) else (lo, mid)
+    assert [r["s"] for r in got] == list(range(300)) and [r["target"] for r in got] == pytest.approx(np.minimum(cap, lo * weight).tolist(), abs=1e-3)
+    assert [r["first_slot"] for r in got] == [sum(r["slots"] for r in got[:i]) for i in range(300)]
+
+
 def test_swap_or_not_is_a_permutation(spark):
     for n in (1, 2, 97):
         df = spark.range(n).select("id", F.col("id").alias("u"))
