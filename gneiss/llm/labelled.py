@@ -25,4 +25,5 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     one = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = one.filter("y = 1").orderBy(*order).limit(per_class).union(one.filter("y = 0").orderBy(*order).limit(per_class))
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    return rows.join(F.broadcast(picked), "doc_id").select("text", "y")

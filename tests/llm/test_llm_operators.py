@@ -329,13 +329,20 @@ def test_classifiers(spark, odd, nothing):
 
 
 def test_toxic_tokens_at_every_sample_size():
+    # Documents with each key: toxic in 9 and clean in none; in 4 of both; a word of all; one of three toxic documents.
+    for k in (1, 10):
+        got, odds = toxicity.admitted(np.array([9.0 * k, 4 * k, 400 * k, 3]), np.array([0.0, 4 * k, 1600 * k, 0]), 400 * 60.0 * k, 1600 * 60.0 * k, 5000, 0.1, math.log(5))
+        assert got.tolist() == [True, False, False, False] and odds[0] > odds[1] > odds[2]
+
+
+def test_first_of_copies():
     rng = np.random.default_rng(9)
-    docs = [rng.integers(1000, 3000, 60).astype(np.uint64) for _ in range(2000)]
-    rare, copied = np.array([7], np.uint64), np.array([8], np.uint64)
-    toxic = [np.concatenate([d, rare]) if i < 9 else d for i, d in enumerate(docs[:400])]  # 9 of 400 toxic documents, no clean one
-    toxic += [np.concatenate([docs[0], copied, np.array([5000 + i], np.uint64)]) for i in range(12)]  # near-copies of one document
-    keys, _ = toxicity.log_odds(toxic, docs[400:])
-    assert 7 in keys and 8 not in keys
+    a, b = rng.integers(0, 2**40, (2, 64))
+    near = a.copy()
+    near[:8] = 1
+    far = a.copy()
+    far[:30] = 2
+    assert toxicity.first_of_copies([a, b, near, a, far, b]).tolist() == [0, 1, 0, 0, 4, 1]
 
 
 def test_segments_against_all_ranges():
@@ -460,6 +467,41 @@ def test_names_on_wrappers_of_the_article():
     assert html_extract.main_text(f"<article>{text}</article><div class='related'><article>Teaser</article></div>") == want
 
 
+def neutral_page(i, n=0):
+    """Names and tags that say nothing; menu, teaser and notice vary from page to page."""
+    return f"""<div class=x1><div class=x2><p><a href=/{i}>Go to {i}</a></p><p><a href=/>Home {i}</a></p></div><div class=x3><h1>Title {i}</h1><div class=x4><p>First words of page {i}, which
+    go on for a good while {n}</p><p>And the second paragraph of number {i}, as long as the first</p></div></div><div class=x5><p>See also {i}</p></div><div class=x6><p>All rights are with us</p><p>Since 1999</p></div></div>"""
+
+
+def test_only_the_template_tells_content(spark):
+    rows = [(i, f"https://a.example/{i}", neutral_page(i)) for i in range(12)]
+    rows += [(20 + i, "https://b.example/", neutral_page(i % 2)) for i in range(6)]  # two distinct pages: no template
+    rows += [(40 + i, f"https://c.example/{i}", neutral_page(3, i)) for i in range(12)]  # near-copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = lambda i, n=0: f"Title {i}\n\nFirst words of page {i}, which go on for a good while {n}\n\nAnd the second paragraph of number {i}, as long as the first"
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    off = {r["page_id"]: r["text"] for r in html_extract.extract(df, least=10**6).collect()}
+    assert len(got) == len(rows)
+    for i in range(12):
+        assert got[i] == want(i) and got[40 + i] == want(3, i)
+        assert off[i] != got[i] and "See also" in off[i] and "Since 1999" in off[i]
+    assert got[20] == off[20]
+
+
+def test_content_slot():
+    tag = lambda *path: html_extract._tag("/" + "/".join(path))
+    row = lambda *path, chars=0, links=0: {tag(*path): (tag(*path[:-1]) if path[:-1] else 0, html_extract._flags("/" + "/".join(path)), chars, links)}
+    shell = row("body", chars=1000) | row("body", "div.a", chars=700) | row("body", "div.b", chars=300, links=290)
+    assert html_extract.content_slot(shell | row("body", "div.a", "p", chars=700), {}) == (tag("body", "div.a"), [])
+    assert html_extract.content_slot(shell, {7: (tag("body", "div.a"), 700, 0)}) == (0, [])  # all of it is constant
+    inner = row("body", "div.a", "ul", chars=100, links=95) | row("body", "div.a", "p", chars=600)
+    assert html_extract.content_slot(shell | inner, {}) == (tag("body", "div.a"), [tag("body", "div.a", "ul")])
+    beside = row("body", "h1", chars=20)
+    assert html_extract.content_slot(shell | beside, {}) == (tag("body", "div.a"), [-tag("body", "h1")])
+    assert html_extract.content_slot(row("body", chars=100) | row("body", "p", chars=100), {}) == (0, [])
+    assert html_extract.content_slot({}, {}) == (0, [])
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = lambda i: f"<nav>Home</nav><article><h1>Title {i}</h1><p>First line {i}</p><p>Second line {i}</p></article>"
     rows = [(i, f"https://a.example/{i}", page(max(0, i - 6))) for i in range(10)]  # seven copies
