@@ -8,9 +8,12 @@ an element stops early once no later step can lower any place.
 
 Equal sets are one class from the start. Classes that share a band of the signature are compared:
 small buckets pair by pair; in a large bucket a central pivot is compared with all members, and
-those that it doesn't reach elect the next. Members that then still are in different components
-are compared wherever an upper bound of their intersection leaves a link possible, so that no
-link between components is lost while members of one component aren't expanded into pairs.
+those that it doesn't reach elect the next. Most of a group is then one component, and no pair inside it is
+looked at again. Members that are still apart, and can be linked to anything (enough of their
+shingles are in other candidates too), are held against all members of the buckets that hang together,
+in tiles: a task gets a block of those apart and a block of members, multiplies their incidence matrices and
+emits one link for each component that a member reaches. So no link between components is lost, and what is
+emitted grows with the members, not with their pairs.
 
 Rows: null, empty or blank texts have an empty set, n_shingles 0, and link with nothing. Rows that
 share a doc_id count as one document. A null doc_id is kept with a null component. Extra columns
@@ -33,8 +36,10 @@ from gneiss.llm.words import bounded_batches, chunks, list_array, mix, signed
 PLACES, ROWS = 160, 5
 #: Buckets of up to so many classes are compared pair by pair; larger ones by pivots.
 SMALL_BUCKET = 16
-#: Rounds of pivots in a large bucket before the rest is compared by components.
+#: Rounds of pivots in a large bucket before the rest is compared in tiles.
 PIVOTS = 3
+#: Sets on a side of a tile: TILE for groups of up to TILE * TILES, then more, up to TILE_MAX. Columns that a task multiplies at once.
+TILE, TILES, TILE_MAX, COLUMNS = 256, 64, 4096, 4096
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.cumsum(np.full(4096, _STEP, dtype=np.uint64), dtype=np.uint64)
@@ -164,19 +169,16 @@ def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
     # Shingles that no other candidate has can't be shared: m is what an intersection can hold at most.
     # A member with the smallest share of them is near the middle of its group and reaches most others at once.
     elements = sets.select("id", F.explode("elements").alias("e"))
-    # Up to three holders of a shingle are told by its smallest and largest id and the exclusive or of all.
-    held = elements.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("x")).filter("c <= 3")
-    ids = F.when(F.col("c") == 3, F.array("lo", F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi")), "hi")).when(F.col("c") == 2, F.array("lo", "hi")).otherwise(F.array("lo"))
-    few = written(held.groupBy(ids.alias("ids")).agg(F.count("*").alias("shingles")), "few")
-    rare = few.select(F.explode("ids").alias("id"), F.when(F.size("ids") == 1, F.col("shingles")).otherwise(0).alias("lone"), "shingles").groupBy("id").agg(F.sum("lone").alias("lone"), F.sum("shingles").alias("rare"))
-    m, common = (F.col("n") - F.coalesce(c, F.lit(0)) for c in ("lone", "rare"))
-    large = written(large.join(rare, "id", "left").select("key", "id", "n", m.alias("m"), common.alias("common"), F.floor(m * 1_000_000 / F.col("n")).alias("weight")), "large")
+    alone = elements.groupBy("e").agg(F.min("id").alias("id"), F.count("*").alias("c")).filter("c = 1")
+    lone = alone.groupBy("id").agg(F.count("*").alias("lone"))
+    m = F.col("n") - F.coalesce("lone", F.lit(0))
+    large = written(large.join(lone, "id", "left").select("key", "id", "n", m.alias("m"), F.floor(m * 1_000_000 / F.col("n")).alias("weight")), "large")
     left = large
     for _ in range(PIVOTS):
         best = F.struct("weight", F.xxhash64("id"), "id")
         pivots = left.groupBy("key").agg(F.max_by(F.struct("id", "n", "weight"), best).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.weight").alias("pw"))
         near = large.join(pivots, "key").filter((F.col("id") != F.col("pivot")) & _similar("n", "pn", percent))
-        # One pivot a member and round, the most central of its buckets': what this leaves apart is compared by components.
+        # One pivot a member and round, the most central of its buckets': what this leaves apart is compared in tiles.
         chosen = near.groupBy("id").agg(F.max(F.struct("pw", F.xxhash64("pivot").alias("h"), "pivot")).alias("c")).select("id", F.col("c.pivot").alias("pivot"))
         ball = links_of(chosen.select(*_pair("id", "pivot")).distinct()).filter(_linked(percent)).select("a", "b")
         out.append(ball)
@@ -185,39 +187,99 @@ def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
         left = written(rest.select("key", "id", "n", "weight"), "outside")
         if left.isEmpty():
             break
-    return out + _across(large, few, out, links_of, percent)
+    return [*out, _across(large, sets, out, percent)]
 
 
 def _linked(percent: int):
     return F.col("inter") * 100 >= F.col("total") * percent
 
 
-def _across(large: DataFrame, few: DataFrame, links: list[DataFrame], links_of, percent: int) -> list[DataFrame]:
-    """Links inside large buckets between members that are still in different components.
+def _tile_links(percent: int):
+    """(a, b): for each set of a tile's left side, one linked set of each other component of the right side. Rows come sorted by tile."""
+
+    def links(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        tile = pa.Table.from_batches(rows)
+        side, ids, roots, sizes = (tile.column(c).to_numpy() for c in range(3, 7))
+        elements = tile.column(7).combine_chunks()
+        flat, at = elements.flatten().to_numpy(), np.repeat(np.arange(len(ids)), elements.value_lengths().to_numpy())
+        _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+        # Elements of one set alone are in no intersection; the others are columns 0, 1, ...
+        number = np.cumsum(often > 1) - 1
+        some = often[column] > 1
+        at, column = at[some], number[column[some]]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.empty(len(ids), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        inter = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        at, column = at[order], column[order]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+            part, c = at[a:b], column[a:b] - lo
+            x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            own = side[part] == 0
+            x[place[part[own]], c[own]], y[place[part[~own]], c[~own]] = 1, 1
+            inter += x @ y.T
+        total = sizes[left][:, None] + sizes[right][None, :] - inter
+        i, j = np.nonzero((inter * 100 >= total * percent) & (roots[left][:, None] != roots[right][None, :]))
+        if not len(i):
+            return i, j
+        # One link for each component reached.
+        _, first = np.unique(np.stack([i, roots[right][j]]), axis=1, return_index=True)
+        return ids[left][i[first]], ids[right][j[first]]
 
-    Two members that share no shingle of up to three holders have common ones only, which bounds their
-    intersection from above; those that do share one are met by it, and m bounds theirs. Only pairs
-    that these bounds leave open are verified.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(tile, axis=1) != 0).any(axis=0)) + 1, [batch.num_rows]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                this = tuple(tile[:, lo].tolist())
+                if held and this != key:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(held)], names=["a", "b"])
+                    held = []
+                key = this
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(held)], names=["a", "b"])
+
+    return run
+
+
+def _across(large: DataFrame, sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
+    """Links between members of large buckets that hang together and are still in different components."""
     union = links[0]
     for x in links[1:]:
         union = union.union(x)
     roots = components(union)
-    state = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter(F.col("r1") < F.col("r2")).select("key")
-    shared = written(state.join(mixed, "key").select("key", "id", "n", "root", "m", "common"), "open")
-    # Only those that can be linked to anything as large as 80 % of themselves stay.
-    able = shared.filter(F.col("m") * 100 >= F.col("n") * percent)
-    other = lambda x, *key: x.select(*key, F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("m").alias("m2"), F.col("common").alias("common2"))
-    bound = lambda x, y: F.least(x, y) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-    apart = F.col("root") != F.col("root2")
-    by_key = able.join(other(able, "key"), "key").filter((F.col("id") < F.col("id2")) & apart & bound("common", "common2")).select("id", "id2")
-    each = able.drop("key").distinct()
-    met = few.filter(F.size("ids") > 1).select(F.explode(F.array(*[F.struct(F.get("ids", F.lit(i)).alias("id"), F.get("ids", F.lit(j)).alias("id2")) for i, j in ((0, 1), (1, 2), (0, 2))])).alias("p")).select("p.*").dropna().distinct()
-    by_few = met.join(each, "id").join(other(each), "id2").filter(apart & bound("m", "m2")).select("id", "id2")
-    pairs = by_key.union(by_few)
-    seen = links_of(pairs.select(*_pair("id", "id2")).distinct())
-    return [seen.filter(_linked(percent)).select("a", "b")]
+    # Only those that can be linked to anything as large as they need stay.
+    able = large.filter(F.col("m") * 100 >= F.col("n") * percent)
+    state = written(able.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "able")
+    drop(roots)
+    mixed = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("id").alias("first")).filter(F.col("r1") < F.col("r2")).select("key", "first")
+    open_ = written(state.join(mixed, "key"), "open")
+    drop(state)
+    # Buckets that share a member are one group; its largest component need not be compared with itself.
+    groups = components(open_.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
+    member = open_.select("id", "n", "root").distinct().join(groups.select(F.col("node").alias("id"), F.col("root").alias("found")), "id", "left").withColumn("group", F.coalesce("found", "id")).drop("found")
+    member = written(member, "members")
+    drop(open_, groups)
+    main = member.groupBy("group", "root").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"))
+    side = lambda n: F.greatest(F.least(F.ceil(n / TILE), F.lit(TILES)), F.ceil(n / TILE_MAX)).cast("int")
+    apart = member.join(main, "group").withColumn("apart", F.col("root") != F.col("main"))
+    blocks = apart.groupBy("group").agg(F.greatest(side(F.count_if("apart")), F.lit(1)).alias("xs"), side(F.count("*")).alias("ys"))
+    dealt = apart.join(blocks, "group").withColumn("h", F.xxhash64("id"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = dealt.filter("apart").select("group", F.pmod("h", "xs").cast("int").alias("i"), F.explode(span("ys")).alias("j"), F.lit(0).alias("side"), "id", "root", "n")
+    right = dealt.select("group", F.explode(span("xs")).alias("i"), F.pmod("h", "ys").cast("int").alias("j"), F.lit(1).alias("side"), "id", "root", "n")
+    rows = left.union(right).join(sets, "id").select("group", "i", "j", "side", "id", "root", "n", "elements")
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = rows.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    out = written(tiles.mapInArrow(_tile_links(percent), "a bigint, b bigint").select(*_pair("a", "b")).distinct(), "across")
+    drop(member)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, places: int = PLACES, rows: int = ROWS) -> DataFrame:
@@ -231,20 +293,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, places:
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed_docs = written(plain.mapInArrow(_signatures(words, places, rows), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>"), "signatures")
     some = signed_docs.filter("n_shingles > 0")
-    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join below is of two plain tables, in which the engine splits a class of many copies.
+    classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).filter(F.col("rep").isNotNull()), "classes")
     member = written(some.join(classes, ["s1", "s2"]).select("doc_id", "rep", F.col("n_shingles").alias("n"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    drop(classes)
     reps = member.filter(F.col("doc_id") == F.col("rep")).groupBy("doc_id", "n").agg(F.first("bands").alias("bands")).select(F.col("doc_id").alias("id"), "n", "bands")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = plain.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         return written(wanted.mapInArrow(_sets(words), "id bigint, elements array<bigint>"), "sets")
 
-    links = _bucket_links(reps, sets_of, percent)
-    same = member.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    union = same.distinct()
-    for x in links:
+    # Links are between class representatives; copies follow theirs. A doc_id of several texts links their classes.
+    several = member.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter(F.col("a") < F.col("z")).select("doc_id", "a")
+    union = member.join(several, "doc_id").select("a", F.col("rep").alias("b"))
+    for x in _bucket_links(reps, sets_of, percent):
         union = union.union(x)
     roots = components(union)
-    out = signed_docs.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    of_doc = member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).filter(F.col("doc_id").isNotNull()).distinct()
+    out = signed_docs.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

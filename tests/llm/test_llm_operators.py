@@ -95,6 +95,34 @@ def test_minhash_large_bucket(spark):
     assert got == brute_components({i: shingles(t, 4) for i, t in texts.items()}, 80)
 
 
+@pytest.mark.parametrize("pivots", [0, 1, 3])
+def test_minhash_tiles(spark, monkeypatch, pivots):
+    """Near-copies of a text, some of them in no link, and a chain of copies; compared in several tiles and column blocks."""
+    for name, value in (("PIVOTS", pivots), ("SMALL_BUCKET", 2), ("TILE", 16), ("TILES", 4), ("COLUMNS", 50)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rng = np.random.default_rng(7)
+    texts, w = {}, [f"w{i}" for i in range(120)]
+    for i in range(90):
+        x = list(w)
+        for j in rng.choice(120, rng.integers(0, 12), replace=False):
+            x[j] = f"x{rng.integers(10**9)}"
+        texts[i] = " ".join(x)
+    for i in range(40):  # each one a few words further on
+        w = w[2:] + [f"z{2 * i}", f"z{2 * i + 1}"]
+        texts[200 + i] = " ".join(w)
+    want = brute_components({i: shingles(t, 4) for i, t in texts.items()}, 80)
+    assert 5 < len(set(want.values())) < 60
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, words=4).collect()} == want
+
+
+def test_minhash_ids_of_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    df = spark.createDataFrame([(5, a), (9, a), (9, b), (7, b), (11, c), (None, b), (None, c)], "doc_id long, text string")
+    got = rows_of(minhash_dedup.near_duplicates(df, words=4), "doc_id", "component_id")
+    assert got == sorted([(5, 5), (7, 5), (9, 5), (9, 5), (11, 11), (None, None), (None, None)], key=repr)
+
+
 def test_minhash_odd(odd, nothing):
     got = rows_of(minhash_dedup.near_duplicates(odd, words=4), "doc_id", "component_id", "kept", "n_shingles")
     assert (5, 1, False, 8) in got and (2, 2, True, 0) in got and (3, 3, True, 0) in got and len(got) == 10
