@@ -108,7 +108,8 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, length_part: the
+    partition of set lengths in which similar_pairs() compares the fingerprint at its default threshold."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     pairs = with_next(rows, ["text"], {"signs": signatures(F.col("text"))})
     n = F.length("text")
@@ -116,7 +117,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
     out = pairs.select("doc_id", n.cast("bigint").alias("n_chars"), "signs", "next_signs", F.when(half > 0, edited).otherwise(F.col("text")).alias("edited"))
     out = out.select("doc_id", "n_chars", "signs", "next_signs", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signatures(F.col("edited")).alias("edited_signs"))
-    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("signs")).alias("fingerprint"), fingerprint(F.col("edited_signs")).alias("edited_fingerprint"), likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("signs")).alias("fingerprint"), fingerprint(F.col("edited_signs")).alias("edited_fingerprint"), likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"), length_part(F.size("signs")).alias("length_part"))
+
+
+def length_part(n: Column, threshold: float = 0.8) -> Column:
+    """The partition of sets of n signatures: lengths of one differ by the threshold at most, so that partners lie in this or the next."""
+    return F.when(n > 0, F.floor(F.log(n) / -math.log(threshold) + 1e-9)).cast("int")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -126,8 +132,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     sets = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signs")).groupBy("signs").agg(F.min("doc_id").alias("id")).filter(F.size("signs") > 0)
     sets = written(sets.withColumn("n", F.size("signs")), "signature-sets")
-    # Lengths of one partition differ by the threshold at most, so that partners lie in this or the next.
-    sets = sets.withColumn("part", F.floor(F.log("n") / -math.log(threshold) + 1e-9).cast("int"))
+    sets = sets.withColumn("part", length_part(F.col("n"), threshold))
     each = sets.select("id", "n", "part", F.explode("signs").alias("sign"))
     often = each.groupBy("sign").agg(F.count("*").alias("often"))
     ranked = each.join(often, "sign").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "sign")))

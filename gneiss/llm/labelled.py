@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ def held_out(doc_id: Column) -> Column:
     return crc_of_id(doc_id) % 3 == 1
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(text, y) of up to per_class labelled documents of each class that aren't held out.
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, columns: Sequence[str] = ()) -> DataFrame:
+    """(text, y and the columns) of up to per_class labelled documents of each class that aren't held out.
 
     The sample is bounded by 2 * per_class ids, so it may be broadcast. Null labels are left out;
     of contradicting labels the larger holds.
@@ -25,5 +27,5 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     one = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = one.filter("y = 1").orderBy(*order).limit(per_class).union(one.filter("y = 0").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return rows.join(F.broadcast(picked), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__m{i}") for i, c in enumerate(columns)]).filter(F.col("text").isNotNull())
+    return rows.join(F.broadcast(picked), "doc_id").select("text", "y", *[f"__m{i}" for i in range(len(columns))])

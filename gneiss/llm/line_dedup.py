@@ -1,11 +1,12 @@
 """Line dedup: of lines that are equal or within the edit bound, the earliest in the corpus stays.
 
 A line's words are the symbols; the edit bound is one word inserted, deleted or replaced, for lines of
-at least NEAR_WORDS words (so that at least nine tenths agree). Shorter lines must be equal, and
-lines of fewer than LEAST_WORDS words are left alone. Every line emits its deletion
+at least NEAR_WORDS words (so that at least nine tenths agree). Shorter lines must be equal; blank lines
+are left alone. Every line emits its deletion
 neighbourhood as hashed keys: the line itself, and each variant with one word deleted, keyed with
 the place of the deletion. Two lines share a variant at one place exactly if one word is replaced; so the
-lines of a key with a place all lie within the bound of each other, and each meets the earliest. A variant
+lines of a key with a place all lie within the bound of each other, and each meets the earliest. A line goes if any earlier
+line is within the bound of it, whether that one stays or goes. A variant
 equals the other line exactly if one word is inserted; so a key without a place is that of one line
 and of all that are one word longer, which may be two edits from each other: each longer line meets
 the shorter one, and the shorter one the earliest longer one. All are plain minima, combined before
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.lineage import drop, written
 from gneiss.llm.words import bounded_batches, chunks_with_bytes, column_bytes, list_array, mix, signed
 
-LEAST_WORDS, NEAR_WORDS = 5, 10
+LEAST_WORDS, NEAR_WORDS = 1, 10
 #: Lines whose variants a worker holds at once.
 VARIANT_LINES = 256
 

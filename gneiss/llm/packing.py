@@ -5,7 +5,9 @@ full pieces and a last, shorter one. Pieces are dealt to shards by a hash, so th
 bounded number of pieces whatever the corpus, and each shard is packed on its own: a piece goes
 where the sum over gaps of the squared number of open sequences with that gap becomes smallest
 (an exact fit counts as none). Sequences that a shard leaves far from full are dissolved and
-packed again in fewer shards, round after round, so that sharding costs few sequences.
+packed again in fewer shards, round after round, so that sharding costs few sequences. In the last round a shard
+also dissolves its loosest sequences TRIES times and places their pieces by the same rule in other orders,
+and keeps what takes no more sequences.
 
 Rows: null texts count as empty; an empty text is the end id alone. Rows that repeat or share a
 doc_id are packed each on its own. Extra columns are ignored. An empty table gives an empty result.
@@ -32,6 +34,7 @@ SHARD_PIECES = 1000
 #: A shard's sequences with a larger gap than this are packed again.
 LOOSE = 8
 ROUNDS = 2
+TRIES, SEED = 24, 5
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 
@@ -160,11 +163,39 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     return sequence, offset
 
 
-def _pack_shard(length: int, loose: int):
+def tightened(sizes: np.ndarray, sequence: np.ndarray, length: int = LENGTH, tries: int = TRIES) -> np.ndarray:
+    """The sequences of pieces after dissolving the loosest again and again; never more of them than before."""
+    rng, n = np.random.default_rng(SEED), int(sequence.max()) + 1 if len(sequence) else 0
+    for _ in range(tries):
+        if n <= -(-int(sizes.sum()) // length):
+            break
+        gaps = length - np.bincount(sequence, sizes, minlength=n)
+        some = max(2, int((0.1 + 0.4 * rng.random()) * n))
+        loose = np.zeros(n, bool)
+        loose[np.argsort(-gaps, kind="stable")[:some]] = True
+        freed = np.flatnonzero(loose[sequence])
+        order = np.argsort(-sizes[freed] * (1 + 0.3 * rng.random(len(freed))), kind="stable")
+        again, _ = sum_of_squares(sizes[freed][order], length)
+        if again.max() + 1 <= loose.sum():
+            kept = int(n - loose.sum())
+            sequence = (np.cumsum(~loose) - 1)[sequence]
+            sequence[freed[order]] = kept + again
+            n = kept + int(again.max()) + 1
+    return sequence
+
+
+def _pack_shard(length: int, loose: int, tries: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "row"], ascending=[False, True], kind="stable")
-        sequence, offset = sum_of_squares(rows["length"].to_numpy(), length)
-        filled = np.bincount(sequence, rows["length"].to_numpy()) if len(rows) else np.empty(0)
+        sizes = rows["length"].to_numpy()
+        sequence = tightened(sizes, sum_of_squares(sizes, length)[0], length, tries)
+        # Pieces of a sequence follow each other in the order of the rows.
+        order = np.argsort(sequence, kind="stable")
+        ends = np.cumsum(sizes[order])
+        first = np.searchsorted(sequence[order], sequence[order])
+        offset = np.empty(len(sizes), np.int64)
+        offset[order] = ends - sizes[order] - (ends - sizes[order])[first]
+        filled = np.bincount(sequence, sizes) if len(rows) else np.empty(0)
         return rows.assign(sequence_id=(np.int64(key[0]) << 32) + sequence, offset=offset, loose=(length - filled[sequence]) > loose)
 
     return run
@@ -180,9 +211,9 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIEC
         n = rest.count()
         shards = max(1, round(n / size))
         dealt = rest.withColumn("row", row).withColumn("shard", F.pmod("row", F.lit(shards)) + F.lit(turn << 24))
-        packed = written(dealt.groupBy("shard").applyInPandas(_pack_shard(length, loose), f"{schema}, row bigint, shard bigint, sequence_id bigint, offset bigint, loose boolean"), "packed")
-        drop(rest)
         last = turn == rounds or shards == 1
+        packed = written(dealt.groupBy("shard").applyInPandas(_pack_shard(length, loose, TRIES if last else 0), f"{schema}, row bigint, shard bigint, sequence_id bigint, offset bigint, loose boolean"), "packed")
+        drop(rest)
         done.append((packed if last else packed.filter(~F.col("loose"))).select(*base, "sequence_id", "offset"))
         if last:
             break

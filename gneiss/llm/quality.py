@@ -1,7 +1,7 @@
 """Quality scores of documents by a factorisation machine.
 
-Features are hashed words and binned structure statistics of the text. features() can add hashed
-metadata values, but training and scoring give it none. The score is w0 + sum w x + half the sum over factors of ((sum v x)^2 - sum v^2 x^2),
+Features are hashed words, binned structure statistics of the text and hashed values of metadata columns (METADATA, where
+the documents have them; numbers by their order of magnitude). Labels, lang, source and doc_id are never among them. The score is w0 + sum w x + half the sum over factors of ((sum v x)^2 - sum v^2 x^2),
 linear in the number of features, through a sigmoid. The model is trained on a bounded sample
 of labelled documents (PER_CLASS for each label); every document is scored from its whole text.
 
@@ -11,13 +11,14 @@ training row exists, every score is 0.5. Extra columns are ignored. An empty tab
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.labelled import held_out, training_texts
@@ -29,6 +30,8 @@ BUCKETS, FACTORS, BINS = 1 << 15, 8, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 128, 0.08, 1e-5, 7
 #: Statistics, each scaled to 0..1 and binned.
 STATISTICS = 12
+#: Columns of the documents that are features of their own and in pairs with all others.
+METADATA = ("n_chars",)
 WIDTH = STATISTICS * BINS + BUCKETS
 
 _CLASS = np.zeros(256, dtype=np.int8)
@@ -85,7 +88,8 @@ def _rows_of_bytes(column: pa.Array, lo: int, hi: int, size: int) -> np.ndarray:
 
 
 def _metadata_bucket(values: pa.Array, k: int) -> np.ndarray:
-    text = [f"{k}={v}" for v in values.to_pylist()]
+    plain = lambda v: round(4 * math.log2(1 + abs(v))) if isinstance(v, int | float) and math.isfinite(v) else v
+    text = [f"{k}={plain(v)}" for v in values.to_pylist()]
     h = mix(np.array([zlib.crc32(t.encode()) for t in text], dtype=np.uint64))
     return (h % np.uint64(BUCKETS)).astype(np.int64) + STATISTICS * BINS
 
@@ -150,44 +154,58 @@ def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), list_array([idx[a:b] for a, b in cut], pa.int32()), list_array([val[a:b] for a, b in cut], pa.float32())], names=["y", "idx", "val"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> FactorisationMachine:
+def _metadata(docs: DataFrame, metadata: Sequence[str]) -> list[str]:
+    """Those that the documents have and that may be features."""
+    return [c for c in metadata if c in docs.columns and c not in ("text", "doc_id", "lang", "source")]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, metadata: Sequence[str] = METADATA) -> FactorisationMachine:
     """Train on at most 2 * per_class labelled documents outside the held-out ids."""
     bounded_batches(docs.sparkSession)
-    got = training_texts(docs, labels, label, per_class).mapInArrow(_training_features, "y int, idx array<int>, val array<float>").toArrow()
-    rows = [(np.asarray(i, dtype=np.int64), np.asarray(v, dtype=np.float64)) for i, v in zip(got.column("idx").to_pylist(), got.column("val").to_pylist(), strict=True)]
-    y = np.asarray(got.column("y").to_pylist(), dtype=float)
+    got = training_texts(docs, labels, label, per_class, _metadata(docs, metadata)).mapInArrow(_training_features, "y int, idx array<int>, val array<float>").toArrow()
+    columns = [got.column(c).combine_chunks() for c in ("idx", "val")]
+    cut = np.concatenate([[0], np.cumsum(columns[0].value_lengths().to_numpy())]) if len(got) else np.zeros(1, int)
+    idx, val = (c.flatten().to_numpy() for c in columns)
+    rows = [(idx[a:b], val[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    y = got.column("y").to_numpy().astype(float)
     # Rows arrive in any order: training must not depend on it.
     order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes()))
     return train([rows[i] for i in order], y[order] if len(order) else y)
 
 
-def _scores(model: FactorisationMachine):
+def _scores(model: FactorisationMachine, metadata: int):
+    """Batches of (text, metadata columns, others) with a last column for the score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, offsets, idx, val in features(batch.column(0)):
-                rest = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(model.score(offsets, idx, val))], names=[*batch.schema.names, "score"])
+            for lo, hi, offsets, idx, val in features(batch.column(0), [batch.column(1 + i) for i in range(metadata)]):
+                rest = [batch.column(i).slice(lo, hi - lo) for i in range(1 + metadata, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(model.score(offsets, idx, val))], names=[*batch.schema.names[1 + metadata :], SCORE])
 
     return run
 
 
-def _with_scores(rows: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """rows (text first) with a column score."""
-    bounded_batches(rows.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_scores(model), f"{fields}, score double")
+#: A name that no column of the documents has.
+SCORE = "__gneiss_quality"
+
+
+def _with_scores(docs: DataFrame, model: FactorisationMachine, columns: list[Column], metadata: Sequence[str]) -> DataFrame:
+    """columns of docs, and SCORE."""
+    bounded_batches(docs.sparkSession)
+    used = _metadata(docs, metadata)
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(c).alias(f"__m{i}") for i, c in enumerate(used)], *columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1 + len(used) :])
+    return rows.mapInArrow(_scores(model, len(used)), f"{fields}, {SCORE} double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, threshold: float = 0.5, metadata: Sequence[str] = METADATA) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    model = fit(docs, labels, label, per_class)
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    out = _with_scores(rows, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = fit(docs, labels, label, per_class, metadata)
+    out = _with_scores(docs, model, [F.col("doc_id").cast("bigint").alias("doc_id")], metadata)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.5, metadata: Sequence[str] = METADATA) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns."""
-    names = docs.columns
-    out = _with_scores(docs.select("text", *[c for c in names if c != "text"]), fit(docs, labels, "quality", per_class))
-    return out.filter(F.col("score") >= threshold).select(*names)
+    out = _with_scores(docs, fit(docs, labels, "quality", per_class, metadata), [F.col(f"`{c}`") for c in docs.columns], metadata)
+    return out.filter(F.col(SCORE) >= threshold).drop(SCORE)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: Texts are handled together up to so many bytes; a longer text is handled alone.
+#: Texts are handled together up to so many bytes; a longer text is handled alone, in slices that end at white space.
 CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -49,6 +49,21 @@ def _pow(n: int) -> np.ndarray:
 
 def hash_words(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words in an array of UTF-8 bytes."""
+    if len(raw) > 2 * CHUNK_BYTES:
+        found, lo = [], 0
+        while lo < len(raw):
+            hi = lo + CHUNK_BYTES
+            while hi < len(raw) and not len(gaps := np.flatnonzero(_SPACE[raw[hi - CHUNK_BYTES : hi]])):
+                hi += CHUNK_BYTES
+            hi = len(raw) if hi >= len(raw) else hi - CHUNK_BYTES + int(gaps[-1]) + 1
+            h, starts, ends = _hash_slice(raw[lo:hi], lower)
+            found.append((h, starts + lo, ends + lo))
+            lo = hi
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return _hash_slice(raw, lower)
+
+
+def _hash_slice(raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if lower:
         raw = _LOWER[raw]
     inside = np.empty(len(raw) + 2, dtype=bool)
