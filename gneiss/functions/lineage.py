@@ -1,7 +1,7 @@
 """Intermediate tables in the shared folder, which cut lineage and outlive executors.
 
 A written table is columnar and compressed and is computed once. It lies under
-spark.checkpoint.dir; only where that is unset (tests, a laptop) is a folder of our own used.
+spark.checkpoint.dir; only where that is unset and the master is local (tests, a laptop) is a folder of our own used.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", found)
         with contextlib.suppress(Exception):

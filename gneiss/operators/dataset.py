@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.functions.folds import collected, fold
+from gneiss.functions.folds import collected, folded
 
 
 def _callable(f) -> None:
@@ -46,7 +46,8 @@ class Dataset:
         if isinstance(f, str):
             return F.expr(f)
         _callable(f)
-        return f(*self._args())
+        out = f(*self._args())
+        return out if isinstance(out, Column) else F.lit(out)
 
     def _pairs(self) -> None:
         if len(self.df.columns) != 2:
@@ -132,7 +133,7 @@ class Dataset:
     def reduce_by_key(self, how) -> Dataset:
         """Fold the values of each key: a monoid's name (combined before the shuffle) or a Column lambda."""
         key, value = self._key_value()
-        return Dataset(self.df.groupBy(key).agg(fold(how, value).alias("value")))
+        return Dataset(folded(self.df, [key], value, how))
 
     def reduce_by_key_py(self, f: Callable, value_type: str | None = None) -> Dataset:
         """Fold with an opaque associative, commutative callable, combined before the shuffle."""
@@ -184,7 +185,7 @@ class Dataset:
 
     def reduce(self, how):
         """Fold of all elements of a scalar Dataset; None if there are none."""
-        return self.df.agg(fold(how, self._element()).alias("value")).first()[0]
+        return folded(self.df, [], self._element(), how).first()[0]
 
     def reduce_py(self, f: Callable):
         """Fold with an opaque callable, by a tree of partial results; None if there are no elements."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ def pagerank(edges: DataFrame, iterations: int, every: int = 4) -> DataFrame:
     """(id, pr) after iterations - 1 updates of pr = 0.85 * incoming + 0.15, from 0.15.
 
     Ranks aren't normalised, dangling mass is lost and parallel edges count each time. Edges with a
-    NULL end are left out. Edges and out-degrees are written once, so that an update is one join
-    and one aggregation that combines before its shuffle; every few updates the ranks are written
-    too, which bounds the plan.
+    NULL end are left out. Edges with their shares are written once, then dealt by src and kept that way, so that
+    an update shuffles ranks and combined contributions but never the edges; every few updates the ranks are
+    written too, which bounds the plan. Lost parts of the kept edges are computed again from the written table.
     """
     if iterations < 1:
         raise ValueError("one iteration is needed at least")
@@ -37,15 +38,19 @@ def pagerank(edges: DataFrame, iterations: int, every: int = 4) -> DataFrame:
     out = plain.groupBy("src").agg(F.count("*").alias("deg"))
     links = written(weighted.join(out, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("share")), "links")
     ids = written(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct(), "vertices")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored, links = links, links.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks, last = ids.withColumn("pr", F.lit(START)), None
     for i in range(1, iterations):
         incoming = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") * F.col("share")).alias("in"))
         ranks = ids.join(incoming, "id", "left").select("id", (DAMPING * F.coalesce("in", F.lit(0.0)) + START).alias("pr"))
-        if i % every == 0:
+        if i % every == 0 or i == iterations - 1:
             ranks = written(ranks, "ranks")
             if last is not None:
                 drop(last)
             last = ranks
+    links.unpersist()
+    drop(stored)
     return ranks
 
 
@@ -76,11 +81,12 @@ class Graph:
         self.ranks = written(pagerank(self.edges, iterations), "ranks")
         return self
 
-    def topk_pagerank(self, k: int) -> list[tuple[int, float]]:
-        """The k vertices with the largest (pr, id), in ascending order."""
+    def topk_pagerank(self, k: int, digits: int | None = None) -> list[tuple[int, float]]:
+        """The k vertices with the largest (pr, id), in ascending order. digits: round first, so that the order of sums settles no tie."""
         if self.ranks is None:
             raise RuntimeError("compute_pagerank() has not been called")
-        rows = self.ranks.orderBy(F.desc("pr"), F.desc("id")).limit(k).collect()
+        ranks = self.ranks if digits is None else self.ranks.withColumn("pr", F.round("pr", digits))
+        rows = ranks.orderBy(F.desc("pr"), F.desc("id")).limit(k).collect()
         return sorted(((r["id"], r["pr"]) for r in rows), key=lambda x: (x[1], x[0]))
 
 

@@ -1,8 +1,11 @@
 """Linear models by full-batch gradient descent: each step is one aggregation of the gradient.
 
-Features are scaled to mean 0 and deviation 1 for training; the parameters are given back in the
+Features are scaled to mean 0 and deviation 1 for training (but for the SVM); the parameters are given back in the
 scale of the input, so that predict() takes plain features. Rows with a NULL feature array or
 label are left out; shorter arrays count as filled with zeros.
+
+Sparse rows are arrays of (i, v) with indices from 0. They are never filled: tasks get the weights as one array and send
+sums for the indices they met. Shifting would fill them, so they are scaled by their root mean square alone.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +37,16 @@ def read_tsv(spark: SparkSession, url: str) -> DataFrame:
     return spark.read.text(url).filter(F.trim("value") != "").select(F.slice(f, F.lit(1), F.size(f) - 1).alias("features"), F.element_at(f, -1).alias("label"))
 
 
+SPARSE = "array<struct<i:int,v:double>>"
+
+
+def read_libsvm_sparse(spark: SparkSession, url: str) -> DataFrame:
+    """libsvm lines (label index:value ..., indices from 1) as arrays of (i, v), indices from 0."""
+    fields = F.split(F.trim(F.col("value")), "\\s+")
+    pairs = F.transform(F.slice(fields, F.lit(2), F.size(fields)), lambda x: F.struct((F.split(x, ":")[0].cast("int") - 1).alias("i"), F.split(x, ":")[1].cast("double").alias("v")))
+    return spark.read.text(url).filter(F.trim("value") != "").select(pairs.cast(SPARSE).alias("features"), F.element_at(fields, 1).cast("double").alias("label"))
+
+
 def read_libsvm(spark: SparkSession, url: str) -> DataFrame:
     """libsvm lines (label index:value ..., indices from 1) as dense arrays."""
     fields = F.split(F.trim(F.col("value")), "\\s+")
@@ -54,7 +69,7 @@ class LinearModel:
         self.n_feature, self.data, self.weights, self.intercept = n_feature, None, None, None
 
     def load_text(self, spark: SparkSession, url: str, is_sparse: int = 0, fmat: str = "tsv") -> LinearModel:
-        df = read_tsv(spark, url) if fmat == "tsv" else read_libsvm(spark, url)
+        df = read_tsv(spark, url) if fmat == "tsv" else (read_libsvm_sparse if is_sparse else read_libsvm)(spark, url)
         return self.load_frame(df.withColumn("label", F.when(F.col("label") < 0, 0.0).otherwise(F.col("label"))) if self.floor_labels else df)
 
     def load_dataset(self, data: Dataset, is_sparse: int = 0) -> LinearModel:
@@ -64,9 +79,12 @@ class LinearModel:
         return self.load_frame(data.df.toDF("features", "label"))
 
     def load_frame(self, df: DataFrame) -> LinearModel:
-        self.data = df.select(F.col("features").cast("array<double>").alias("features"), F.col("label").cast("double").alias("label")).dropna()
+        self.sparse = "struct" in df.schema["features"].dataType.simpleString()
+        self.data = df.select(F.col("features").cast(SPARSE if self.sparse else "array<double>").alias("features"), F.col("label").cast("double").alias("label")).dropna()
         return self
 
+    sparse = False
+
     def load_train_set(self, source, is_sparse: int = 1, format: str = "libsvm", spark: SparkSession | None = None) -> LinearModel:
         """A URL, a list of (features, label) or a Dataset."""
         if isinstance(source, str):
@@ -82,6 +100,52 @@ class LinearModel:
         """The derivative of a row's loss by its margin."""
         raise NotImplementedError
 
+    @staticmethod
+    def slopes(margin: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """slope() of whole arrays."""
+        raise NotImplementedError
+
+    def _sparse_sums(self, df: DataFrame, weights: np.ndarray, intercept: float) -> tuple[np.ndarray, float]:
+        """The sums of slope * feature by index, and of slope, in one pass over sparse rows."""
+        slopes, width = type(self).slopes, len(weights)
+
+        def run(batches):
+            for batch in batches:
+                rows = batch.column(0)
+                at = np.repeat(np.arange(batch.num_rows), rows.value_lengths().to_numpy())
+                flat = rows.flatten()
+                i, v = flat.field("i").to_numpy(), flat.field("v").to_numpy(zero_copy_only=False)
+                g = slopes(np.bincount(at, weights[i] * v, minlength=batch.num_rows) + intercept, batch.column(1).to_numpy())
+                met, where = np.unique(i, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(met, width), pa.int32()), pa.array(np.append(np.bincount(where, v * g[at], minlength=len(met)), g.sum()))], names=["i", "s"])
+
+        got = df.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+        sums = np.zeros(width + 1)
+        sums[got.column("i").to_numpy()] = got.column("s").to_numpy()
+        return sums[:-1], float(sums[-1])
+
+    def _train_sparse(self, n_iter: int, alpha: float) -> LinearModel:
+        df = self.data.persist()
+        try:
+            each = df.select(F.explode("features").alias("f")).select("f.i", "f.v")
+            n = df.count()
+            got = each.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("s")).toArrow()
+            at = got.column("i").to_numpy()
+            width = max(int(at.max(initial=-1)) + 1, self.n_feature)
+            if not n or not width:
+                raise ValueError("the training data are empty")
+            scale = np.ones(width)
+            scale[at] = np.sqrt(got.column("s").to_numpy() / n)
+            scale[scale == 0] = 1.0
+            w, b = np.zeros(width), 0.0
+            for _ in range(n_iter):
+                g, g0 = self._sparse_sums(df, w / scale, b)
+                w, b = w - alpha * g / scale / n, b - alpha * g0 / n
+        finally:
+            df.unpersist()
+        self.weights, self.intercept = (w / scale).tolist(), b
+        return self
+
     def _sums(self, df: DataFrame, parts: list[Column], width: int) -> list[list[float]]:
         """For each array expression, the sums of its elements by index, in one pass."""
         if width <= WIDE:
@@ -97,6 +161,8 @@ class LinearModel:
         """n_iter steps of size alpha."""
         if self.data is None:
             raise RuntimeError("no training data are loaded")
+        if self.sparse:
+            return self._train_sparse(n_iter, alpha)
         n, width = self.data.agg(F.count("*"), F.max(F.size("features"))).first()
         if not n or not width:
             raise ValueError("the training data are empty")
@@ -115,15 +181,13 @@ class LinearModel:
                 moved = F.concat(F.transform("x", lambda v: v * F.col("g")), F.array("g"))
                 sums = self._sums(row, [moved], width + 1)[0]
                 g = [(s - m * sums[-1]) / d / n for s, m, d in zip(sums[:-1], mean, dev, strict=True)]
-                w = [x - alpha * (y + self.decay * x) for x, y in zip(w, g, strict=True)]
+                w = [x - alpha * y for x, y in zip(w, g, strict=True)]
                 b -= alpha * sums[-1] / n
         finally:
             df.unpersist()
         self.weights, self.intercept = self._unscaled(w, b, mean, dev)
         return self
 
-    decay = 0.0
-
     @staticmethod
     def _unscaled(w, b, mean, dev) -> tuple[list[float], float]:
         plain = [x / d for x, d in zip(w, dev, strict=True)]
@@ -158,6 +222,10 @@ class LinearRegressionModel(LinearModel):
     def slope(self, margin: Column, label: Column) -> Column:
         return margin - label
 
+    @staticmethod
+    def slopes(margin, label):
+        return margin - label
+
 
 class LogisticRegressionModel(LinearModel):
     """Logistic loss on labels 0 and 1. predict() gives the margin, probability() its sigmoid."""
@@ -167,15 +235,59 @@ class LogisticRegressionModel(LinearModel):
     def slope(self, margin: Column, label: Column) -> Column:
         return 1.0 / (1.0 + F.exp(-margin)) - label
 
+    @staticmethod
+    def slopes(margin, label):
+        return 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))) - label
+
     def probability(self, x: Sequence[float]) -> float:
         return 1.0 / (1.0 + math.exp(-self.predict(x)))
 
 
 class SVMModel(LinearModel):
-    """Hinge loss with weight decay; labels above 0 are one class, the others the other."""
+    """Hinge loss with an L2 penalty, by projected subgradient steps; labels above 0 are one class, the others the other.
 
-    decay = 0.01
+    Step i (from 0) brings the weights into the ball of radius 1 / sqrt(penalty), then goes by eta = 1 / (i + 1) along the rows
+    inside the margin. Features are taken as they are, and steps have no size of the caller's.
+    """
+
+    def __init__(self, n_feature: int = -1, penalty: float = 0.01):
+        super().__init__(n_feature)
+        self.penalty = penalty
 
     def slope(self, margin: Column, label: Column) -> Column:
         y = F.when(label > 0, 1.0).otherwise(-1.0)
         return F.when(y * margin < 1.0, -y).otherwise(0.0)
+
+    @staticmethod
+    def slopes(margin, label):
+        y = np.where(label > 0, 1.0, -1.0)
+        return np.where(y * margin < 1.0, -y, 0.0)
+
+    def train(self, n_iter: int = 10, alpha: float | None = None, is_sparse: int = 1) -> LinearModel:
+        """n_iter steps; alpha is ignored."""
+        if self.data is None:
+            raise RuntimeError("no training data are loaded")
+        top = F.array_max(F.transform("features", lambda x: x["i"])) + 1 if self.sparse else F.size("features")
+        n, width = self.data.agg(F.count("*"), F.max(top)).first()
+        if not n or not width:
+            raise ValueError("the training data are empty")
+        width = max(width, self.n_feature)
+        filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get("features", i), F.lit(0.0)))
+        df = (self.data if self.sparse else self.data.select(filled.alias("x"), "label")).persist()
+        w, b = np.zeros(width), 0.0
+        try:
+            for step in range(n_iter):
+                norm = float(w @ w)
+                near = min(1.0, 1.0 / math.sqrt(norm * self.penalty)) if norm else 1.0
+                w, eta = w * near, 1.0 / (step + 1)
+                if self.sparse:
+                    g, g0 = self._sparse_sums(df, w, b * near)
+                else:
+                    row = df.select("x", self.slope(dot(F.col("x"), w.tolist(), b * near), F.col("label")).alias("g"))
+                    sums = self._sums(row, [F.concat(F.transform("x", lambda v: v * F.col("g")), F.array("g"))], width + 1)[0]
+                    g, g0 = np.array(sums[:-1]), sums[-1]
+                w, b = (1 - eta) * w - eta / (n * self.penalty) * g, b - eta / n * g0
+        finally:
+            df.unpersist()
+        self.weights, self.intercept = w.tolist(), b
+        return self

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.functions.lineage import new_path
+from gneiss.functions.lineage import new_path, written
 from gneiss.operators.dataset import Dataset
-from gneiss.operators.graph import adjacency_edges, in_degree_histogram, pagerank
+from gneiss.operators.graph import Graph, adjacency_edges, in_degree_histogram, pagerank
 from gneiss.operators.models import LinearRegressionModel, LogisticRegressionModel, SVMModel, dot
-from gneiss.operators.words import WordCount, split_words
+from gneiss.operators.words import WordCount
 from gneiss.sources.readers import from_list, load, parquet
 
 SPACES = "[ \\t\\n\\r]+"
@@ -42,9 +42,9 @@ def _words(spark: SparkSession, sf_dir: str) -> WordCount:
 # -- sources ----------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('hello'), ('world'), ('hello'), ('granite')) t(value)")
+@query("SELECT * FROM (VALUES ('quartz'), ('mica'), ('quartz'), ('slate')) t(value)")
 def parallelize_words(spark, sf_dir):
-    return from_list(spark, ["hello", "world", "hello", "granite"]).df
+    return from_list(spark, ["quartz", "mica", "quartz", "slate"]).df
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS value FROM documents")
@@ -77,7 +77,8 @@ def filter_qty(spark, sf_dir):
 
 @query(f"SELECT word FROM ({SQL_WORDS}) WHERE word <> ''")
 def flat_map_words(spark, sf_dir):
-    return split_words(table(spark, sf_dir, "documents", "text").df, "text", SPACES)
+    words = table(spark, sf_dir, "documents", "text").flat_map(lambda t: F.filter(F.split(t, SPACES), lambda w: w != ""))
+    return words.df.select(F.col("value").alias("word"))
 
 
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
@@ -179,18 +180,43 @@ def difference(spark, sf_dir):
 
 @query("SELECT count(*) AS value FROM orders")
 def count_all(spark, sf_dir):
-    return table(spark, sf_dir, "orders", "o_orderkey").df.agg(F.count("*").alias("value"))
+    return spark.createDataFrame([(table(spark, sf_dir, "orders", "o_orderkey").count(),)], "value bigint")
 
 
 @query("SELECT count(*) = 0 AS value FROM orders")
 def is_empty(spark, sf_dir):
-    d = table(spark, sf_dir, "orders", "o_orderkey").df
-    return d.limit(1).agg((F.count("*") == 0).alias("value"))
+    return spark.createDataFrame([(table(spark, sf_dir, "orders", "o_orderkey").empty(),)], "value boolean")
 
 
 @query("SELECT max(o_totalprice) AS value FROM orders")
 def reduce_max(spark, sf_dir):
-    return table(spark, sf_dir, "orders").df.agg(F.max("o_totalprice").alias("value"))
+    return spark.createDataFrame([(table(spark, sf_dir, "orders", "o_totalprice").reduce("max"),)], "value double")
+
+
+@query("SELECT CAST(bit_xor(o_orderkey) AS BIGINT) AS value FROM orders")
+def reduce_lambda(spark, sf_dir):
+    found = table(spark, sf_dir, "orders", "o_orderkey").reduce(lambda x, y: x.bitwiseXOR(y))
+    return spark.createDataFrame([(found,)], "value bigint")
+
+
+@query("SELECT count(*) AS value, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders")
+def foreach_sum(spark, sf_dir):
+    """What foreach_py() leaves behind: sums in accumulators."""
+    n, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def add(k):
+        n.add(1)
+        total.add(k)
+
+    table(spark, sf_dir, "orders", "o_orderkey").foreach_py(add)
+    return spark.createDataFrame([(n.value, total.value)], "value bigint, total bigint")
+
+
+@query("SELECT p_type AS word, count(*) AS cnt FROM part GROUP BY p_type")
+def word_count_elements(spark, sf_dir):
+    """Elements of a Dataset counted as words, as print_all() gives them."""
+    pairs = WordCount().from_dataset(table(spark, sf_dir, "part", "p_type")).wordcount().print_all()
+    return spark.createDataFrame(pairs, "word string, cnt bigint")
 
 
 @query("SELECT max(o_orderkey) AS value FROM orders")
@@ -213,8 +239,11 @@ def topk_largest(spark, sf_dir):
 def cache_round_trip(spark, sf_dir):
     d = table(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey")
     d.cache()
-    d.uncache()
-    return d.count_by_key().df
+    try:
+        counts = written(d.count_by_key().df, "counts")  # computed from what is kept
+    finally:
+        d.uncache()
+    return counts
 
 
 # -- graphs -----------------------------------------------------------------
@@ -254,8 +283,8 @@ def pagerank_ten(spark, sf_dir):
 
 @query(f"SELECT id, pr FROM ({pagerank_sql(3)}) ORDER BY pr DESC, id DESC LIMIT 20")
 def pagerank_topk(spark, sf_dir):
-    ranks = pagerank(_edges(spark, sf_dir), 3).select("id", F.round("pr", 6).alias("pr"))
-    return ranks.orderBy(F.desc("pr"), F.desc("id")).limit(20)
+    top = Graph().from_edges(Dataset(_edges(spark, sf_dir))).compute_pagerank(3).topk_pagerank(20, digits=6)
+    return spark.createDataFrame(top, "id bigint, pr double")
 
 
 # -- models -----------------------------------------------------------------
@@ -270,21 +299,60 @@ def linear_predict(spark, sf_dir):
 def _trained(model, spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "embeddings", "embedding", "label").df
     model.load_frame(d.select(F.col("embedding").alias("features"), (F.col("label") < 5).cast("double").alias("label")))
-    model.train(n_iter=5, alpha=0.5)
+    model.train(n_iter=STEPS, alpha=0.5)
     rows = [(j, w) for j, w in enumerate([*model.get_param(), model.get_intercept()])]
-    return spark.createDataFrame(rows, "position int, weight double")
+    return spark.createDataFrame(rows, "position int, weight double").select("position", F.round("weight", 6).alias("weight"))
+
+
+STEPS = 5
 
+#: Rows in long form: id, y and one row for each feature j.
+_LONG = """x AS (SELECT row_number() OVER () AS id, embedding, (label < 5)::INT::DOUBLE AS y FROM embeddings),
+l AS (SELECT id, y, j - 1 AS j, embedding[j]::DOUBLE AS v FROM x, range(1, 65) t(j)),
+n AS (SELECT count(*)::DOUBLE AS n FROM x)"""
 
-@query()
+
+def descent_sql(slope: str, steps: int = STEPS, alpha: float = 0.5) -> str:
+    """Gradient steps on scaled features; slope: the derivative of the loss by the margin m, with label y."""
+    parts = [
+        _LONG,
+        "s AS (SELECT j, avg(v) AS mean, CASE WHEN avg(v * v) - avg(v) * avg(v) > 0 THEN sqrt(avg(v * v) - avg(v) * avg(v)) ELSE 1 END AS dev FROM l GROUP BY j)",
+        "z AS (SELECT id, y, l.j, (v - mean) / dev AS v FROM l JOIN s ON s.j = l.j)",
+        "w0 AS (SELECT j, 0::DOUBLE AS w FROM s)",
+        "b0 AS (SELECT 0::DOUBLE AS b)",
+    ]
+    for k in range(steps):
+        parts += [
+            f"g{k} AS (SELECT id, {slope} AS g FROM (SELECT id, y, sum(v * w) + any_value(b) AS m FROM z JOIN w{k} ON w{k}.j = z.j, b{k} GROUP BY id, y))",
+            f"w{k + 1} AS (SELECT j, any_value(w) - {alpha} * sum(g * v) / any_value(n) AS w FROM (SELECT z.j, z.v, g, w FROM z JOIN g{k} ON g{k}.id = z.id JOIN w{k} ON w{k}.j = z.j), n GROUP BY j)",
+            f"b{k + 1} AS (SELECT any_value(b) - {alpha} * sum(g) / any_value(n) AS b FROM g{k}, b{k}, n)",
+        ]
+    return f"WITH {', '.join(parts)} SELECT j::INT AS position, round(w / dev, 6) AS weight FROM w{steps} JOIN s USING (j) UNION ALL SELECT 64, round(any_value(b) - sum(w / dev * mean), 6) FROM w{steps} JOIN s USING (j), b{steps}"
+
+
+def svm_sql(steps: int = STEPS, penalty: float = 0.01) -> str:
+    """Projected subgradient steps on plain features; r: the projection's factor."""
+    parts = [_LONG, "w0 AS (SELECT DISTINCT j, 0::DOUBLE AS w FROM l)", "b0 AS (SELECT 0::DOUBLE AS b)"]
+    for k in range(steps):
+        parts += [
+            f"r{k} AS (SELECT CASE WHEN sum(w * w) > 0 THEN least(1, 1 / sqrt(sum(w * w) * {penalty})) ELSE 1 END AS r FROM w{k})",
+            f"m{k} AS (SELECT id, 2 * y - 1 AS y, (2 * y - 1) * (sum(v * w) * any_value(r) + any_value(b) * any_value(r)) AS m FROM l JOIN w{k} ON w{k}.j = l.j, b{k}, r{k} GROUP BY id, y)",
+            f"w{k + 1} AS (SELECT j, (1 - 1.0::DOUBLE / {k + 1}) * any_value(w) * any_value(r) + 1.0::DOUBLE / {k + 1} / (any_value(n) * {penalty}) * sum(CASE WHEN m < 1 THEN y * v ELSE 0 END) AS w FROM (SELECT l.j, l.v, m, m{k}.y, w FROM l JOIN m{k} ON m{k}.id = l.id JOIN w{k} ON w{k}.j = l.j), r{k}, n GROUP BY j)",
+            f"b{k + 1} AS (SELECT any_value(b) + 1.0::DOUBLE / {k + 1} / any_value(n) * sum(CASE WHEN m < 1 THEN y ELSE 0 END) AS b FROM m{k}, b{k}, n)",
+        ]
+    return f"WITH {', '.join(parts)} SELECT j::INT AS position, round(w, 6) AS weight FROM w{steps} UNION ALL SELECT 64, round(b, 6) FROM b{steps}"
+
+
+@query(descent_sql("m - y"))
 def linear_train(spark, sf_dir):
     return _trained(LinearRegressionModel(), spark, sf_dir)
 
 
-@query()
+@query(descent_sql("1 / (1 + exp(-m)) - y"))
 def logistic_train(spark, sf_dir):
     return _trained(LogisticRegressionModel(), spark, sf_dir)
 
 
-@query()
+@query(svm_sql())
 def svm_train(spark, sf_dir):
     return _trained(SVMModel(), spark, sf_dir)

@@ -1,17 +1,64 @@
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from gneiss import Dataset, from_list, load, mongodb, start, stop
+from gneiss.functions import folds, lineage
 from gneiss.sources.readers import hdfs
 
 
 def test_word_count_golden(spark):
-    words = from_list(spark, ["hello", "world", "hello", "granite"])
-    got = words.map(lambda v: v, lambda v: F.lit(1)).reduce_by_key("sum").collect()
-    assert sorted(got) == [("granite", 1), ("hello", 2), ("world", 1)]
+    words = from_list(spark, ["quartz", "mica", "quartz", "slate"])
+    got = words.map(lambda v: v, lambda v: 1).reduce_by_key("sum").collect()
+    assert sorted(got) == [("mica", 1), ("quartz", 2), ("slate", 1)]
+
+
+def test_readme_example(spark, capsys):
+    text = (Path(__file__).parent.parent / "README.md").read_text()
+    code = "\n".join(line[4:] for line in text.split("\n") if line.startswith("    "))
+    names = {}
+    exec(code, names)
+    assert sorted(names["counts"]) == [("mica", 1), ("quartz", 2)]
+
+
+def test_output_and_foreach(spark, capsys):
+    d = from_list(spark, [3, 1, 2]).filter(F.col("value") > 1)
+    d.output()
+    assert sorted(eval(capsys.readouterr().out)) == [2, 3]
+    seen = spark.sparkContext.accumulator(0)
+    d.foreach_py(lambda x: seen.add(x))
+    assert seen.value == 5
+    pairs = spark.sparkContext.accumulator(0)
+    from_list(spark, [("a", 1), ("b", 2)]).foreach_py(lambda p: pairs.add(p[1]))
+    assert pairs.value == 3
+
+
+def test_general_fold_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(folds, "CHUNK", 8)
+    df = spark.range(0, 1000, 1, 5).select(F.when(F.col("id") % 10 == 0, F.col("id") % 3).otherwise(F.lit(7)).alias("k"), F.col("id"))
+    want = defaultdict(int)
+    for i in range(1000):
+        want[i % 3 if i % 10 == 0 else 7] += i
+    assert dict(Dataset(df).reduce_by_key(lambda x, y: x + y).collect()) == dict(want)
+    assert Dataset(df.select("id")).reduce(lambda x, y: F.greatest(x, y)) == 999
+    assert from_list(spark, [], "value int").reduce(lambda x, y: x + y) is None
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Context:
+        master = "yarn"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(RuntimeError):
+        lineage.shared_dir(Session())
 
 
 def test_topk_is_smallest_by_default(spark):
