@@ -2,9 +2,10 @@
 
 A token's score is its log-odds between toxic and other documents under a Dirichlet prior that
 follows the overall frequencies. Tokens without significant evidence cost DRIFT each. One linear scan finds
-every maximal segment. A segment of score S among n tokens has the value lambda S - ln(K n), which
-follows a Gumbel law in clean text (lambda solves E[exp(lambda s)] = 1, K is fitted on clean training
-documents); the values of a document's significant segments add up, and a logistic curve turns the sum into the score.
+every maximal segment. A segment of score S among n tokens has the value lambda S - ln(K n): minus the logarithm of how many
+segments as good clean text of that length is expected to show, so that the best one's value follows a Gumbel law (lambda
+solves E[exp(lambda s)] = 1, K comes from the number of segments in clean training documents). The values of a
+document's significant segments add up, and a logistic curve turns the sum into the score.
 
 Learning uses training rows alone. Their documents are dealt to FOLDS, near-copies together. Which tokens
 count is set by the false discovery rate q of the signed root of the likelihood ratio, the least log-odds, and whether a word
@@ -24,6 +25,7 @@ score is 0. Extra columns are ignored. An empty table gives none.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -44,7 +46,7 @@ DRIFT, PRIOR = 0.4, 200.0
 #: A token must occur in so many toxic documents that aren't near-copies of each other, whatever the sample's size.
 AT_LEAST = 4
 #: What learning chooses from: false discovery rate, least log-odds, whether beginnings of words count.
-SETTINGS = tuple(product((0.01, 0.1), (math.log(5), math.log(20)), (False, True)))
+SETTINGS = tuple(product((0.03, 0.3), (math.log(5), math.log(20)), (False, True)))
 FOLDS = 4
 #: Minima that a document's set of words is sketched by; documents that share COPY of them are near-copies: the first counts.
 SKETCH, COPY = 64, 0.8
@@ -132,12 +134,12 @@ class ToxicModel:
         return self.lam * score - self.ln_k - math.log(max(n, 1))
 
     def evidence(self, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
-        """The summed values of the significant passages, and the passages; without any, the best value."""
+        """The summed values of the significant passages, and the passages; without any, the best value (0 at least)."""
         found = [(a, b, self.value(s, len(scores))) for a, b, s in segments(scores)]
         sure = [x for x in found if -math.expm1(-math.exp(-max(x[2], -30.0))) <= SIGNIFICANT]
         if sure:
             return sum(x[2] for x in sure), sure
-        return max((x[2] for x in found), default=self.value(0.0, len(scores))), []
+        return max([0.0, *(x[2] for x in found)]), []
 
     def score(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * math.asinh(evidence) + self.offset))))
@@ -219,13 +221,12 @@ def admitted(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
 
 
 def _scored(models: dict[tuple[int, int], ToxicModel], folds: dict[int, int]):
-    """Of each document under each setting, by the model of its fold: (setting, fold, score, tokens of that score) of the
-    clean tokens of a batch, and (setting, -1 - fold, best segment, tokens) of each clean document."""
+    """Of the clean documents of a batch under each setting, by the models of their folds: (setting, fold, score, tokens of
+    that score), and (setting, -1 - fold, score, segments of that score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[int, int, float], int] = {}
-            best = []
+            sums: dict[tuple[int, int, float], int] = Counter()
             for row, y, parts in _training_parts(batch):
                 fold = folds.get(row)
                 if y or fold is None or not len(parts[0]):
@@ -233,9 +234,9 @@ def _scored(models: dict[tuple[int, int], ToxicModel], folds: dict[int, int]):
                 for k in range(len(SETTINGS)):
                     scores = models[k, fold].token_scores(parts)
                     for v, n in zip(*(x.tolist() for x in np.unique(scores, return_counts=True)), strict=True):
-                        sums[k, fold, v] = sums.get((k, fold, v), 0) + n
-                    best.append((k, -1 - fold, max((x[2] for x in segments(scores)), default=0.0), len(scores)))
-            rows = [(*key, n) for key, n in sums.items()] + best
+                        sums[k, fold, v] += n
+                    sums.update((k, -1 - fold, round(s, 6)) for _, _, s in segments(scores))
+            rows = [(*key, n) for key, n in sums.items()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["setting", "fold", "value", "n"])
 
@@ -290,14 +291,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     models = {(k, f): model(setting, f) for k, setting in enumerate(SETTINGS) for f in range(FOLDS)}
     seen = written(train.mapInArrow(_scored(models, folds), "setting int, fold int, value double, n bigint"), "token-scores")
+    # One row for each distinct score, and one for the least score of a segment.
     tokens = seen.filter("fold >= 0").groupBy("setting", "fold", "value").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    best = seen.filter("fold < 0").toArrow().to_pandas()
+    best = {(r["setting"], -1 - r["fold"]): r for r in seen.filter("fold < 0").groupBy("setting", "fold").agg(F.sum("n").alias("n"), F.min("value").alias("least")).collect()}
     drop(seen)
     for (k, f), m in models.items():
         x = tokens[(tokens.setting == k) & (tokens.fold == f)].sort_values("value")
         m.lam = _lambda(x.value.to_numpy(), x.n.to_numpy().astype(float))
-        b = best[(best.setting == k) & (best.fold == -1 - f)]
-        m.ln_k = math.fsum(m.lam * b.value - np.log(b.n)) / len(b) - 0.5772156649 if len(b) else 0.0
+        found = best.get((k, f))
+        # Of segments that score s at least, K n exp(-lambda s) are expected; one more is counted, so that K is never 0.
+        m.ln_k = math.log((1 + found["n"] if found else 1) / max(1.0, x.n.sum())) + (m.lam * found["least"] if found else 0.0)
     evidence = sorted(train.mapInArrow(_evidences(models, folds), "row bigint, y int, evidence array<double>").toArrow().to_pylist(), key=lambda r: r["row"])
     drop(train)
     y, x = np.array([r["y"] for r in evidence], float), np.arcsinh(np.array([r["evidence"] for r in evidence]))
