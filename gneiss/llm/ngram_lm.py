@@ -1,15 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and read through memory maps.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and read through memory maps.
 
-Three passes over the training texts' tokens (words with A-Z lower-cased, then one end). The first
-counts words: every task sends sorted runs of (hash, count) to hash ranges, a range's task merges
-them and stores sorted arrays; a word's id is its place in all ranges. The second counts pairs of
-ids the same way. The pairs' tasks send, for each word, its number of following words by count
-and of distinct preceding words to id ranges, whose tasks store dense arrays. The third pass scores
-all texts: workers map the arrays into memory and look up each batch's distinct keys.
+Texts become runs of about RUN tokens (words with A-Z lower-cased, then one end): one row each, with the run's distinct
+words as hashes and its tokens as places among them. An n-gram is a hash of its words; a document begins after
+order - 1 starts, so that each token ends an n-gram of the full order.
 
-Ranges are sized in bytes of text (RANGE_BYTES), so that a task's share stays the same at any
-size; keys are hashed, so that a frequent word is one entry of each run and no range is hot. The
-arrays lie in the shared folder; where that isn't a mounted file system, each worker copies them.
+From the full order down to single words, every run sends its distinct n-grams, sorted by hash, to hash ranges. A range's task
+merges what the runs know of an n-gram, and answers every run in the order of its own n-grams: so no key travels back.
+Of the full order runs send counts; an answer also tells one run that it owns the n-gram. Owners alone then count: for the
+order below, distinct n-grams by their endings (the lower order's counts), and sums and numbers of counts by their
+contexts. An answer is stored as arrays in the order of the run's sorted hashes, which the worker that scores the run maps into memory.
+
+So a worker holds one run and one range at a time, never the model, whatever the corpus. Hashes spread n-grams over ranges,
+and a frequent one is one entry of each run, so no range is hot. Runs and ranges grow with the square root of the
+corpus (run_tokens()), so that there are not more blocks between them than n-grams. Arrays lie in the shared folder; where
+that isn't a mounted file system, a worker copies those of its run.
+
+Hashes of n-grams keep so many bits (key_bits()) that about one in four million meets another; those of words keep 64.
 
 Rows: null texts count as empty: their only token is the end. Rows that repeat count each time. A null
 doc_id has the crc32 of the empty text. An empty table gives an empty result; without training rows
@@ -19,27 +25,50 @@ every probability is 1. Extra columns are ignored.
 from __future__ import annotations
 
 import io
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.lineage import new_path, written
+from gneiss.functions.lineage import drop, new_path, written
 from gneiss.llm.labelled import crc_of_id
 from gneiss.llm.words import bounded_batches, chunks, mix
 
-RANGE_BYTES = 16 << 20
-#: Tokens whose counts a task joins before it sends them.
-RUN = 2 << 20
-#: Ids in one range of word statistics.
-ID_RANGE = 1 << 19
+ORDER = 3
+#: Tokens of a run, and n-grams of a range, in a small corpus.
+RUN = 1 << 20
+
+_END, _START = np.uint64(0x5EED0FE4D0FD0C05), np.uint64(0xB0F0B0F0C0FFEE11)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: What is known of an n-gram: its count (of the lower orders: of n-grams that end in it), and of those that begin with it the sum of counts, and how many have count 1, 2, more.
+_FIELDS = ["count", "total", "n1", "n2", "n3"]
+
+
+def run_tokens(tokens: int) -> int:
+    return max(RUN, 8 * math.isqrt(tokens))
+
+
+def key_bits(tokens: int) -> int:
+    return min(64, 22 + max(1, tokens).bit_length())
+
+
+# -- arrays on their way and in files -------------------------------------------
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """An array's bytes by significance: those that are all alike shrink to nothing when rows are compressed."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
 
-_END = np.uint64(0x5EED0FE4D0FD0C05)
-_STATS = ["total", "n1", "n2", "n3", "before"]
+
+def _unplaned(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
@@ -54,21 +83,101 @@ def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
         fs.move(temp, f"{path}/{name}.{key}.npy")
 
 
-class _Files:
-    """Arrays of the model, mapped into memory."""
+def _load(folder: str, name: str) -> np.ndarray:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.load(f"{path}/{name}.npy", mmap_mode="r")
+    with fs.open_input_file(f"{path}/{name}.npy") as f:
+        return np.load(io.BytesIO(f.read()))
+
+
+def _known(folder: str, n: int, run: int, field: int) -> np.ndarray:
+    """A field of the answer to a run, in the order of its n-grams. One byte each is stored, and larger values apart."""
+    out = _load(folder, f"{n}-{run}.small")[field].astype(np.int64)
+    large = _load(folder, f"{n}-{run}.large")
+    mine = large[:, large[0] == field]
+    out[mine[1]] = mine[2]
+    return out
+
+
+# -- runs -------------------------------------------------------------------------
+
+
+def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """One row for each run: its number, documents (id, whether it trains, tokens), words and tokens. Rows: doc_id, trains, text."""
+    held, n, turn = [], 0, 0
+    part = TaskContext.get().partitionId()
+
+    def send():
+        ids = pa.concat_arrays([h[0] for h in held])
+        trains, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        words, at = np.unique(np.concatenate([*[h[3] for h in held], np.array([_START])]), return_inverse=True)
+        values = [(part << 32) + turn, ids.to_pylist(), trains.astype(np.uint8).tobytes(), sizes.astype(np.int64).tobytes(), _planes(words), _planes(at[:-1].astype(np.uint32))]
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["run", "ids", "trains", "sizes", "words", "tokens"])
+
+    for batch in batches:
+        for lo, hi, hashes, offsets in chunks(batch.column(2)):
+            tokens = np.insert(hashes, offsets[1:], _END)
+            held.append((batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False), np.diff(offsets) + 1, tokens))
+            n += len(tokens)
+            if n >= size:
+                yield send()
+                held, n, turn = [], 0, turn + 1
+    if held:
+        yield send()
+
+
+_RUNS = "run bigint, ids array<bigint>, trains binary, sizes binary, words binary, tokens binary"
+
+
+class Run:
+    """The n-grams of a run's tokens."""
+
+    def __init__(self, row: dict, bits: int):
+        self.run, self.ids, self.bits = row["run"], row["ids"], bits
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        words, at = _unplaned(row["words"], np.uint64), _unplaned(row["tokens"], np.uint32)
+        self.hashes = words[at]
+        self.trains = np.repeat(np.frombuffer(row["trains"], np.uint8).astype(bool), self.sizes)
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        self.place = np.arange(len(self.hashes)) - np.repeat(self.starts, self.sizes)
+
+    def _keys(self, n: int) -> tuple[np.ndarray, np.uint64]:
+        """The hash of the n-gram that ends at each token, and that of n starts."""
+        key, start = self.hashes, np.array([_START])
+        for k in range(1, n):
+            before = np.full(len(key), _START)
+            inside = self.place >= k
+            before[inside] = self.hashes[np.flatnonzero(inside) - k]
+            key, start = mix(key * _STEP + mix(before + np.uint64(k))), mix(start * _STEP + mix(np.array([_START]) + np.uint64(k)))
+        if n > 1:
+            cut = np.uint64(64 - self.bits)
+            key, start = key >> cut << cut, start >> cut << cut
+        return key, start[0]
+
+    def grams(self, n: int, with_start: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted distinct n-grams, the place among them of that which ends at each token (and last, of n starts), and a token that ends each."""
+        key, start = self._keys(n)
+        found, first, at = np.unique(np.append(key, start) if with_start else key, return_index=True, return_inverse=True)
+        return found, at, first
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        """Of each token, the place of the n-gram before it, from places as of grams()."""
+        out = np.empty(len(self.hashes), at.dtype)
+        out[1:] = at[: len(self.hashes) - 1]
+        out[self.starts] = at[-1]
+        return out
+
+
+def _each_run(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[Run]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Run({c: batch.column(c)[i].as_py() for c in batch.schema.names}, bits)
 
-    def __init__(self, folder: str):
-        self.folder, self.open = folder, {}
 
-    def __call__(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            fs, path = pafs.FileSystem.from_uri(self.folder)
-            if isinstance(fs, pafs.LocalFileSystem):
-                self.open[name] = np.load(f"{path}/{name}.npy", mmap_mode="r")
-            else:
-                with fs.open_input_file(f"{path}/{name}.npy") as f:
-                    self.open[name] = np.load(io.BytesIO(f.read()))
-        return self.open[name]
+# -- counting ---------------------------------------------------------------------
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -76,158 +185,92 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
 
-def _runs(range_: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """One row for each range, with its packed keys and counts. Sorted by range."""
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(range_)) + 1, [len(range_)]]) if len(range_) else np.zeros(1, int)
-    part = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([int(range_[a]) for a, _ in part], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in part], pa.binary()), pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in part], pa.binary())],
-        names=["range", "keys", "counts"],
-    )
-
-
-_RUN = "range bigint, keys binary, counts binary"
-
-
-def _tokens(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The hashes with the end's after each row."""
-    return np.insert(hashes, offsets[1:], _END)
-
+def _requests(n: int, order: int, folder: str, ranges: int, bits: int):
+    """What each run knows of its n-grams, for each range: the hashes as differences, and the fields."""
 
-def _count_words(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def send():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _runs(_range_of(keys, ranges), keys, counts)
-
-        for batch in batches:
-            for _, _, hashes, offsets in chunks(batch.column(0)):
-                held.append(_tokens(hashes, offsets))
-                n += len(held[-1])
-                if n >= RUN:
-                    yield send()
-                    held, n = [], 0
-        if held:
-            yield send()
+        for r in _each_run(batches, bits):
+            keys, at, _ = r.grams(n, n < order)
+            count = lambda places, weights=None: np.bincount(places, weights, minlength=len(keys)).astype(np.uint32)
+            tokens = at[: len(r.hashes)]
+            fields = [count(tokens[r.trains])]
+            if n < order:
+                longer, _, first = r.grams(n + 1, n + 1 < order)
+                own = np.flatnonzero(np.unpackbits(_load(folder, f"{n + 1}-{r.run}.own"), count=len(longer)))
+                counts, ends, begins = _known(folder, n + 1, r.run, 0)[own], tokens[first[own]], r.contexts(at)[first[own]]
+                fields = [count(ends), count(begins, counts), *[count(begins[x]) for x in (counts == 1, counts == 2, counts >= 3)], *fields]
+            range_ = _range_of(keys, ranges)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(range_)) + 1, [len(keys)]])
+            parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            sent = [b"".join(_planes(f[a:b]) for f in fields) for a, b in parts]
+            arrays = [pa.array([int(range_[a]) for a, _ in parts], pa.int64()), pa.array([r.run] * len(parts), pa.int64()), pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()), pa.array(sent, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["range", "run", "keys", "fields"])
 
     return run
 
 
-def _merged(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(b.as_py(), dtype=kind) for b in table.column("keys")])
-    counts = np.concatenate([np.frombuffer(b.as_py(), dtype=np.uint32) for b in table.column("counts")])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+#: Sums over a range: numbers of n-grams with counts 1 to 4 and more, counts in all, and of words those that occur and their occurrences.
+_SUMS = ["k1", "k2", "k3", "k4", "k5", "counts", "words", "tokens"]
 
 
-def _store_words(folder: str):
-    def run(key, table):
-        hashes, counts = _merged(table, np.uint64)
-        _save(folder, f"words-{key[0].as_py()}", hash=hashes, count=counts)
-        return pa.table({"range": [key[0].as_py()], "n": [len(hashes)], "total": [int(counts.sum())]})
-
-    return run
-
-
-class Words:
-    """Ids and counts of words by hash, from the stored ranges. bases: the first id of each range, then the number of words."""
-
-    def __init__(self, folder: str, ranges: int, bases: np.ndarray):
-        self.files, self.ranges, self.bases = _Files(folder), ranges, bases
+def _answers(n: int, order: int):
+    """For each run, the fields of its n-grams over all runs, and whether it owns them; and a row without run for the sums."""
 
-    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Id (-1: unknown) and count of each of sorted hashes."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        range_ = _range_of(hashes, self.ranges)
-        cuts = np.searchsorted(range_, np.arange(self.ranges + 1))
-        for r in np.unique(range_).tolist():
-            if self.bases[r] == self.bases[r + 1]:
-                continue
-            known, part = self.files(f"words-{r}.hash"), slice(cuts[r], cuts[r + 1])
-            at = np.minimum(np.searchsorted(known, hashes[part]), len(known) - 1)
-            hit = known[at] == hashes[part]
-            ids[part] = np.where(hit, at + self.bases[r], -1)
-            counts[part] = np.where(hit, self.files(f"words-{r}.count")[at], 0)
-        return ids, counts
-
-
-def _with_start(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
-    """The token before each token; of the first of a row, the start."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    if len(before):
-        before[np.concatenate([[0], ends[:-1]])] = start
-    return before
-
-
-def _count_pairs(folder: str, ranges: int, bases: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, size = Words(folder, ranges, bases), int(bases[-1])
-        held, n = [], 0
-
-        def send():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            range_ = _range_of(mix(keys.astype(np.uint64)), ranges)
-            order = np.argsort(range_, kind="stable")
-            return _runs(range_[order], keys[order], counts[order])
-
-        for batch in batches:
-            for _, _, hashes, offsets in chunks(batch.column(0)):
-                tokens = _tokens(hashes, offsets)
-                distinct, inverse = np.unique(tokens, return_inverse=True)
-                ids = words(distinct)[0][inverse]
-                held.append(_with_start(ids, offsets[1:] + np.arange(1, len(offsets)), size) * np.int64(size + 1) + ids)
-                n += len(ids)
-                if n >= RUN:
-                    yield send()
-                    held, n = [], 0
-        if held:
-            yield send()
+    def run(key, table):
+        table = table.sort_by("run")
+        keys = [np.cumsum(_unplaned(b.as_py(), np.uint64), dtype=np.uint64) for b in table.column("keys")]
+        sizes = [len(k) for k in keys]
+        width = 1 if n == order else 6
+        sent = [_unplaned(b.as_py(), np.uint32) if width == 1 else np.concatenate([_unplaned(b.as_py()[4 * s * i : 4 * s * (i + 1)], np.uint32) for i in range(6)]) for b, s in zip(table.column("fields"), sizes, strict=True)]
+        each = np.concatenate([x.reshape(width, s) for x, s in zip(sent, sizes, strict=True)], axis=1)
+        flat = np.concatenate(keys)
+        order_ = np.argsort(flat, kind="stable")
+        new = np.concatenate([[True], np.diff(flat[order_]) != 0])
+        at = np.empty(len(flat), np.int64)
+        at[order_] = np.cumsum(new) - 1
+        fields = np.stack([np.bincount(at, f) for f in each]).astype(np.int64)
+        # The first run that counted an n-gram owns it.
+        some = np.flatnonzero(each[0])
+        own = np.zeros(len(flat), np.uint8)
+        own[some[np.unique(at[some], return_index=True)[1]]] = 1
+        cuts = np.cumsum([0, *sizes])
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            out.append(b"".join([own[a:b].tobytes(), *[_planes(f[at[a:b]].astype(np.uint32) if f.max(initial=0) < 2**32 else f[at[a:b]].view(np.uint64)) for f in fields]]))
+        k = np.bincount(np.minimum(fields[0], 5), minlength=6)[1:]
+        sums = [*k.tolist(), int(fields[0].sum()), int((fields[-1] > 0).sum()), int(fields[-1].sum())]
+        wide = [8 if f.max(initial=0) >= 2**32 else 4 for f in fields]
+        rows = len(sizes)
+        return pa.table({
+            "run": pa.array([*table.column("run").to_pylist(), None], pa.int64()), "range": pa.array([key[0].as_py()] * (rows + 1), pa.int64()),
+            "size": pa.array([*sizes, 0], pa.int64()), "widths": pa.array([wide] * rows + [None], pa.list_(pa.int32())), "fields": pa.array([*out, b""], pa.binary()),
+            **{c: pa.array([0] * rows + [v], pa.int64()) for c, v in zip(_SUMS, sums, strict=True)},
+        })
 
     return run
 
 
-def _store_pairs(folder: str, size: int):
-    """Stores a range of pairs and gives the statistics of its words, in runs for the id ranges; range -1 has counts of counts."""
+_ANSWERS = f"run bigint, range bigint, size bigint, widths array<int>, fields binary, {', '.join(f'{c} bigint' for c in _SUMS)}"
 
-    def run(key, table):
-        keys, counts = _merged(table, np.int64)
-        _save(folder, f"pairs-{key[0].as_py()}", key=keys, count=counts.astype(np.uint32))
-        first, second = keys // (size + 1), keys % (size + 1)
-        u, at = np.unique(first, return_index=True)
-        sums = lambda x: np.add.reduceat(x.astype(np.int64), at)
-        left = np.stack([u, sums(counts), sums(counts == 1), sums(counts == 2), sums(counts >= 3), np.zeros(len(u), np.int64)], axis=1)
-        v, n = np.unique(second, return_counts=True)
-        right = np.zeros((len(v), 6), np.int64)
-        right[:, 0], right[:, 5] = v, n
-        rows = np.concatenate([left, right])
-        rows = rows[np.argsort(rows[:, 0] // ID_RANGE, kind="stable")]
-        range_ = rows[:, 0] // ID_RANGE
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(range_)) + 1, [len(range_)]])
-        parts = list(zip(cuts[:-1], cuts[1:], strict=True))
-        of_counts = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(np.int64)
-        return pa.table({"range": pa.array([*[int(range_[a]) for a, _ in parts], -1], pa.int64()), "rows": pa.array([*[rows[a:b].astype(np.int32 if size < 2**31 - 2 and counts.sum() < 2**31 else np.int64).tobytes() for a, b in parts], of_counts.tobytes()], pa.binary()), "width": pa.array([*[4 if size < 2**31 - 2 and counts.sum() < 2**31 else 8 for _ in parts], 8], pa.int32())})
 
-    return run
+def _store(n: int, folder: str):
+    """Stores the answers to a run, range after range."""
 
-
-def _store_stats(folder: str, size: int):
     def run(key, table):
-        r = key[0].as_py()
-        n = min(ID_RANGE, size + 1 - r * ID_RANGE)
-        out = np.zeros((5, n))
-        for raw, width in zip(table.column("rows"), table.column("width"), strict=True):
-            rows = np.frombuffer(raw.as_py(), dtype=np.int32 if width.as_py() == 4 else np.int64).reshape(-1, 6).astype(np.int64)
-            for k in range(5):
-                out[k] += np.bincount(rows[:, 0] - r * ID_RANGE, rows[:, k + 1], minlength=n)
-        _save(folder, f"stats-{r}", **dict(zip(_STATS, out.astype(np.int64), strict=True)))
-        before = out[4].astype(np.int64)
-        of_counts = [int((before == k).sum()) for k in range(1, 5)]
-        return pa.table({"k": [of_counts], "many": [int((before >= 3).sum())], "types": [int(before.sum())]})
+        rows = table.sort_by("range").to_pylist()
+        own, fields = [], []
+        for r in rows:
+            at, of = r["size"], []
+            own.append(np.frombuffer(r["fields"], np.uint8, at))
+            for w in r["widths"]:
+                of.append(_unplaned(r["fields"][at : at + w * r["size"]], np.uint32 if w == 4 else np.uint64).astype(np.int64))
+                at += w * r["size"]
+            fields.append(np.stack(of))
+        known = np.concatenate(fields, axis=1)
+        field, place = np.nonzero(known > 255)
+        large = np.stack([field, place, known[field, place]])
+        _save(folder, f"{n}-{key[0].as_py()}", small=np.minimum(known, 255).astype(np.uint8), large=large, own=np.packbits(np.concatenate(own)))
+        return pa.table({"run": pa.array([key[0].as_py()], pa.int64())})
 
     return run
 
@@ -241,113 +284,73 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05 * k), k * 0.99) for k, x in enumerate(d, 1))
 
 
-class Model:
-    """Probabilities of tokens after tokens, by the stored arrays."""
-
-    def __init__(self, folder: str, ranges: int, bases: np.ndarray, total: int, pairs: list[int], before: list[int], many: int, types: int):
-        self.words, self.files, self.ranges = Words(folder, ranges, bases), _Files(folder), ranges
-        self.size, self.total, self.types = int(bases[-1]), total, types
-        self.d, self.e = (0.0, *discounts(pairs)), (0.0, *discounts(before))
-        self.rest = (self.e[1] * before[0] + self.e[2] * before[1] + self.e[3] * many) / types if types else 1.0
-
-    def _stats(self, ids: np.ndarray) -> np.ndarray:
-        """A column for each of sorted distinct ids; zeros for -1."""
-        out = np.zeros((5, len(ids)))
-        range_ = ids // ID_RANGE
-        for r in np.unique(range_[ids >= 0]).tolist():
-            part = np.flatnonzero((range_ == r) & (ids >= 0))
-            for k, name in enumerate(_STATS):
-                out[k, part] = self.files(f"stats-{r}.{name}")[ids[part] - r * ID_RANGE]
-        return out
-
-    def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        range_ = _range_of(mix(keys.astype(np.uint64)), self.ranges)
-        order = np.argsort(range_, kind="stable")
-        cuts = np.searchsorted(range_[order], np.arange(self.ranges + 1))
-        for r in np.unique(range_).tolist():
-            part = order[cuts[r] : cuts[r + 1]]
-            try:
-                known = self.files(f"pairs-{r}.key")
-            except FileNotFoundError:  # no pair fell into this range
-                continue
-            at = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
-            hit = known[at] == keys[part]
-            out[part[hit]] = self.files(f"pairs-{r}.count")[at[hit]]
-        return out
-
-    def score(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each row: tokens, known tokens, base log10 probability, the model's."""
-        tokens, ends = _tokens(hashes, offsets), offsets[1:] + np.arange(1, len(offsets))
-        distinct, inverse = np.unique(tokens, return_inverse=True)
-        ids, counts = self.words(distinct)
-        base = np.log10((counts + 0.1) / (self.total + 0.1 * (self.size + 1)))
-        order = np.argsort(ids, kind="stable")
-        stats = np.empty((5, len(ids)))
-        stats[:, order] = self._stats(ids[order])
-        e = np.array(self.e)[np.minimum(stats[4], 3).astype(int)]
-        one = (np.maximum(stats[4] - e, 0) / self.types if self.types else np.zeros(len(ids))) + self.rest / (self.size + 1)
-        token_ids = ids[inverse]
-        prev = _with_start(token_ids, ends, self.size)
-        places = np.searchsorted(ids[order], prev)
-        at_prev = order[np.minimum(places, len(order) - 1)]
-        begin = self._stats(np.array([self.size])) if self.types else np.zeros((5, 1))
-        of_prev = np.where(prev == self.size, begin, stats[:, at_prev])
-        known = (prev >= 0) & (of_prev[0] > 0)
-        both = known & (token_ids >= 0)
-        keys, back = np.unique(prev[both] * np.int64(self.size + 1) + token_ids[both], return_inverse=True)
-        c = np.zeros(len(tokens))
-        c[both] = self._pair_counts(keys)[back] if len(keys) else 0
-        d = np.array(self.d)[np.minimum(c, 3).astype(int)]
-        total = np.maximum(of_prev[0], 1)
-        left = (self.d[1] * of_prev[1] + self.d[2] * of_prev[2] + self.d[3] * of_prev[3]) / total
-        p = np.where(known, np.maximum(c - d, 0) / total + left * one[inverse], one[inverse])
-        starts = np.concatenate([[0], ends[:-1]])
-        sums = lambda x: np.add.reduceat(x, starts)
-        return np.diff(np.concatenate([[0], ends])), sums((counts[inverse] > 0).astype(np.int64)), sums(base[inverse]), sums(np.log10(p))
-
-
-def fit(texts: DataFrame) -> tuple:
-    """Count and store a model of the texts (one string column). The arguments of Model."""
-    spark = texts.sparkSession
+def fit(rows: DataFrame, order: int = ORDER) -> tuple[DataFrame, str, int, list[dict]]:
+    """The runs of rows (doc_id, trains, text), the folder of the answers to them, the bits of hashes, and the sums of each order from 1 on."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
+    spark = rows.sparkSession
     bounded_batches(spark)
-    folder = new_path(spark, "ngrams")
-    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
-    ranges = max(1, -(-size // RANGE_BYTES))
-    found = texts.mapInArrow(_count_words(ranges), _RUN).groupBy("range").applyInArrow(_store_words(folder), "range bigint, n bigint, total bigint").collect()
-    sizes = np.zeros(ranges, np.int64)
-    for r in found:
-        sizes[r["range"]] = r["n"]
-    bases, total = np.concatenate([[0], np.cumsum(sizes)]), sum(r["total"] for r in found)
-    if not total:
-        return folder, ranges, bases, 0, [0] * 4, [0] * 4, 0, 0
-    pairs = texts.mapInArrow(_count_pairs(folder, ranges, bases), _RUN).groupBy("range").applyInArrow(_store_pairs(folder, int(bases[-1])), "range bigint, rows binary, width int")
-    pairs = written(pairs, "pair-statistics")
-    of_pairs = sum((np.frombuffer(bytes(r["rows"]), np.int64) for r in pairs.filter("range = -1").collect()), np.zeros(4, np.int64))
-    stats = pairs.filter("range >= 0").groupBy("range").applyInArrow(_store_stats(folder, int(bases[-1])), "k array<bigint>, many bigint, types bigint").collect()
-    before = [sum(r["k"][i] for r in stats) for i in range(4)]
-    return folder, ranges, bases, total, of_pairs.tolist(), before, sum(r["many"] for r in stats), sum(r["types"] for r in stats)
-
-
-def _scores(arguments: tuple):
+    # About a token for five bytes; it only sets sizes.
+    tokens = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
+    size, bits = run_tokens(tokens), key_bits(tokens)
+    runs = written(rows.mapInArrow(lambda batches: _runs(batches, size), _RUNS), "runs")
+    folder, sums = new_path(spark, "ngrams"), []
+    for n in range(order, 0, -1):
+        # A run has about a tenth as many distinct words as tokens.
+        ranges = max(1, -(-tokens // size) // (1 if n > 1 else 10))
+        asked = runs.mapInArrow(_requests(n, order, folder, ranges, bits), "range bigint, run bigint, keys binary, fields binary")
+        answers = written(asked.groupBy("range").applyInArrow(_answers(n, order), _ANSWERS), "answers")
+        sums.append({k: v or 0 for k, v in answers.agg(*[F.sum(c).alias(c) for c in _SUMS]).first().asDict().items()})
+        answers.filter("run is not null").groupBy("run").applyInArrow(_store(n, folder), "run bigint").write.format("noop").mode("overwrite").save()
+        drop(answers)
+    return runs, folder, bits, sums[::-1]
+
+
+# -- scoring ----------------------------------------------------------------------
+
+
+def probabilities(r: Run, folder: str, sums: list[dict]) -> np.ndarray:
+    """Of each token, the model's probability after the tokens before it."""
+    order, tokens = len(sums), len(r.hashes)
+    d = [(0.0, *discounts([s[f"k{k}"] for k in range(1, 5)])) for s in sums]
+    weight = lambda n, counts: np.array(d[n - 1])[np.minimum(counts, 3)]
+    s = sums[0]
+    if not s["counts"]:
+        return np.ones(tokens)
+    _, at, _ = r.grams(1)
+    counts = _known(folder, 1, r.run, 0)
+    rest = (d[0][1] * s["k1"] + d[0][2] * s["k2"] + d[0][3] * (s["k3"] + s["k4"] + s["k5"])) / s["counts"]
+    p = (np.maximum(counts - weight(1, counts), 0) / s["counts"] + rest / (s["words"] + 1))[at[:tokens]]
+    for n in range(2, order + 1):
+        total, n1, n2, n3 = (_known(folder, n - 1, r.run, f) for f in range(1, 5))
+        left = (d[n - 1][1] * n1 + d[n - 1][2] * n2 + d[n - 1][3] * n3) / np.maximum(total, 1)
+        before = r.contexts(at)
+        _, at, _ = r.grams(n, n < order)
+        c = _known(folder, n, r.run, 0)[at[:tokens]]
+        after = total[before]
+        p = np.where(after > 0, np.maximum(c - weight(n, c), 0) / np.maximum(after, 1) + left[before] * p, p)
+    return p
+
+
+def _scores(folder: str, bits: int, sums: list[dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*arguments)
-        for batch in batches:
-            for lo, hi, hashes, offsets in chunks(batch.column(1)):
-                n, known, base, score = model.score(hashes, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        for r in _each_run(batches, bits):
+            counts = _known(folder, 1, r.run, 5)[r.grams(1)[1][: len(r.hashes)]]
+            base = np.log10((counts + 0.1) / (sums[0]["tokens"] + 0.1 * (sums[0]["words"] + 1)))
+            of = lambda x: np.add.reduceat(x, r.starts)
+            arrays = [pa.array(r.ids, pa.int64()), pa.array(r.sizes), pa.array(of((counts > 0).astype(np.int64))), pa.array(of(base)), pa.array(of(np.log10(probabilities(r, folder, sums))))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out_of: int = 10, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document.
 
     Learns from the documents whose crc32 of the id isn't divisible by held_out_of.
     """
     out_of = crc_of_id(F.col("doc_id")) % held_out_of == 0
-    model = fit(docs.filter(~out_of).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_scores(model), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    runs, folder, bits, sums = fit(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (~out_of).alias("trains"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), order)
+    scored = runs.mapInArrow(_scores(folder, bits, sums), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
-    return scored.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(model[3]).cast("bigint").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
+    return scored.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(sums[0]["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))

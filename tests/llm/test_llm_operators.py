@@ -481,33 +481,64 @@ def test_passes_grow_with_the_table():
 # -- 9 -----------------------------------------------------------------------
 
 
-def test_language_model(docs, odd, nothing, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "RANGE_BYTES", 100_000)
-    texts = {r["doc_id"]: [*words(r["text"]), "end"] for r in docs.collect()}
-    train = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10}
-    one = collections.Counter(w for t in train.values() for w in t)
-    two = collections.Counter(p for t in train.values() for p in zip(["start", *t[:-1]], t, strict=True))
-    before = collections.Counter(b for _, b in two)
-    of = lambda c: [sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]
-    d, e = (0, *ngram_lm.discounts(of(two))), (0, *ngram_lm.discounts(of(before)))
-    rest = sum(e[min(c, 3)] for c in before.values()) / len(two)
+def kneser_ney(train, order):
+    """p(context, word) of the interpolated modified model by plain dictionaries, and the counts of each order."""
+    grams = lambda t, n: [tuple((["start"] * (n - 1) + t)[i : i + n]) for i in range(len(t))]
+    count = {order: collections.Counter(g for t in train for g in grams(t, order))}
+    for n in range(order - 1, 0, -1):
+        count[n] = collections.Counter(g[1:] for g in count[n + 1])
+    d = {n: (0, *ngram_lm.discounts([sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)])) for n, c in count.items()}
     total, cut = collections.Counter(), collections.Counter()
-    for (a, _), c in two.items():
-        total[a] += c
-        cut[a] += d[min(c, 3)]
-    n, v = sum(one.values()), len(one)
-
-    def p(a, b):
-        low = max(before[b] - e[min(before[b], 3)], 0) / len(two) + rest / (v + 1)
-        return max(two[a, b] - d[min(two[a, b], 3)], 0) / total[a] + cut[a] / total[a] * low if total[a] else low
-
-    for r in ngram_lm.lm_scores(docs).collect():
+    for n, c in count.items():
+        for g, k in c.items():
+            total[n, g[:-1]] += k
+            cut[n, g[:-1]] += d[n][min(k, 3)]
+    v = len(count[1])
+
+    def p(context, word):
+        n = len(context) + 1
+        low = 1 / (v + 1) if n == 1 else p(context[1:], word)
+        if not total[n, context]:
+            return low
+        k = count[n][*context, word]
+        return max(k - d[n][min(k, 3)], 0) / total[n, context] + cut[n, context] / total[n, context] * low
+
+    return p, v
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, odd, nothing, monkeypatch, order):
+    monkeypatch.setattr(ngram_lm, "RUN", 5000)
+    monkeypatch.setattr(ngram_lm, "run_tokens", lambda tokens: 5000)
+    texts = {r["doc_id"]: [*words(r["text"]), "end"] for r in docs.collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    p, v = kneser_ney(train, order)
+    one = collections.Counter(w for t in train for w in t)
+    n = sum(one.values())
+    got = ngram_lm.lm_scores(docs.repartition(3), order=order).collect()
+    assert len(got) == len(texts)
+    for r in got:
         t = texts[r["doc_id"]]
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["start", *t[:-1]], t, strict=True)), rel=1e-9)
+        padded = ["start"] * (order - 1) + t
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(t)), rel=1e-9)
         assert r["base_score"] == pytest.approx(sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel=1e-9)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in one for w in t), n)
-    assert sum(p("the" if total["the"] else b"the", w) for w in one) + p(b"the", "never seen") == pytest.approx(1.0)
+    context = (b"the",) * (order - 1)
+    assert sum(p(context, w) for w in one) + p(context, "never seen") == pytest.approx(1.0)
+
+
+def test_language_model_odd(odd, nothing):
     assert ngram_lm.lm_scores(odd).count() == 10 and ngram_lm.lm_scores(nothing).count() == 0
+    held = odd.withColumn("doc_id", F.lit(None).cast("long"))  # the empty text's crc32 is 0: no row trains
+    got = ngram_lm.lm_scores(held).collect()
+    assert len(got) == 10 and all(r["score"] == 0 and r["train_tokens"] == 0 and r["n_known"] == 0 for r in got)
+
+
+def test_arrays_on_their_way():
+    rng = np.random.default_rng(0)
+    for kind in (np.uint32, np.uint64):
+        a = rng.integers(0, np.iinfo(kind).max, 77, dtype=kind)
+        assert (ngram_lm._unplaned(ngram_lm._planes(a), kind) == a).all() and len(ngram_lm._unplaned(b"", kind)) == 0
 
 
 # -- 10 ----------------------------------------------------------------------
