@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here."""
+def written(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends here. codec: of the files, else as configured."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._gneiss_path = path
     return out
