@@ -15,7 +15,7 @@ and a frequent one is one entry of each run, so no range is hot. Runs and ranges
 corpus (run_tokens()), so that there are not more blocks between them than n-grams. Arrays lie in the shared folder; where
 that isn't a mounted file system, a worker copies those of its run.
 
-Hashes of n-grams keep so many bits (key_bits()) that about one in four million meets another; those of words keep 64.
+Hashes of n-grams keep so many bits (key_bits()) that about one in 200,000 meets another; those of words keep 64.
 
 Rows: null texts count as empty: their only token is the end. Rows that repeat count each time. A null
 doc_id has the crc32 of the empty text. An empty table gives an empty result; without training rows
@@ -42,12 +42,13 @@ from gneiss.llm.words import bounded_batches, chunks, mix
 
 ORDER = 3
 #: Tokens of a run, and n-grams of a range, in a small corpus.
-RUN = 1 << 20
+RUN = 1 << 21
 
 _END, _START = np.uint64(0x5EED0FE4D0FD0C05), np.uint64(0xB0F0B0F0C0FFEE11)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: What is known of an n-gram: its count (of the lower orders: of n-grams that end in it), and of those that begin with it the sum of counts, and how many have count 1, 2, more.
-_FIELDS = ["count", "total", "n1", "n2", "n3"]
+#: What is known of an n-gram: its count (in the lower orders: of n-grams that end in it); of those that begin with it the
+#: sum of counts, and how many have count 1, 2, more; of a word its occurrences. Nearly all are nothing or as these.
+_USUAL = np.array([1, 1, 1, 0, 0, 1])
 
 
 def run_tokens(tokens: int) -> int:
@@ -55,7 +56,7 @@ def run_tokens(tokens: int) -> int:
 
 
 def key_bits(tokens: int) -> int:
-    return min(64, 22 + max(1, tokens).bit_length())
+    return min(64, 18 + max(1, tokens).bit_length())
 
 
 # -- arrays on their way and in files -------------------------------------------
@@ -63,7 +64,7 @@ def key_bits(tokens: int) -> int:
 
 def _planes(a: np.ndarray) -> bytes:
     """An array's bytes by significance: those that are all alike shrink to nothing when rows are compressed."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 def _unplaned(raw: bytes, kind) -> np.ndarray:
@@ -91,15 +92,48 @@ def _load(folder: str, name: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
-def _known(folder: str, n: int, run: int, field: int) -> np.ndarray:
-    """A field of the answer to a run, in the order of its n-grams. One byte each is stored, and larger values apart."""
-    out = _load(folder, f"{n}-{run}.small")[field].astype(np.int64)
-    large = _load(folder, f"{n}-{run}.large")
-    mine = large[:, large[0] == field]
-    out[mine[1]] = mine[2]
+def _width(n: int, order: int) -> int:
+    """The number of fields of an n-gram."""
+    return 1 if n == order else 5 if n > 1 else 6
+
+
+def _kinds(fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which columns are all zero, and which are the usual ones."""
+    return ~fields.any(axis=0), (fields == _USUAL[: len(fields), None]).all(axis=0)
+
+
+def _spread(zero: np.ndarray, usual: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rest), len(zero)), np.int64)
+    out[:, usual] = _USUAL[: len(rest), None]
+    out[:, ~(zero | usual)] = rest
     return out
 
 
+def _packed(fields: np.ndarray) -> bytes:
+    """Columns of fields as bytes: two bits for each, and those that are neither zero nor usual."""
+    zero, usual = _kinds(fields)
+    rest = fields[:, ~(zero | usual)]
+    kind = np.uint32 if rest.max(initial=0) < 2**32 else np.uint64
+    return b"".join([bytes([np.dtype(kind).itemsize]), np.packbits(zero).tobytes(), np.packbits(usual).tobytes(), *[_planes(f.astype(kind)) for f in rest]])
+
+
+def _unpacked(raw: bytes, width: int, size: int) -> np.ndarray:
+    kind, bits = np.uint32 if raw[0] == 4 else np.uint64, (size + 7) // 8
+    zero, usual = (np.unpackbits(np.frombuffer(raw, np.uint8, bits, 1 + i * bits), count=size).astype(bool) for i in range(2))
+    m = size - int((zero | usual).sum())
+    at = 1 + 2 * bits
+    rest = [_unplaned(raw[at + i * m * raw[0] : at + (i + 1) * m * raw[0]], kind).astype(np.int64) for i in range(width)]
+    return _spread(zero, usual, np.stack(rest))
+
+
+def _known(folder: str, n: int, run: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answer to a run: the fields of its n-grams in the order of their hashes, and whether it owns them. One byte each is stored, and larger values apart."""
+    zero, usual, own = (np.unpackbits(x, count=size).astype(bool) for x in _load(folder, f"{n}-{run}.bits"))
+    rest, large = _load(folder, f"{n}-{run}.small").astype(np.int64), _load(folder, f"{n}-{run}.large")
+    rest[large[0], large[1]] = large[2]
+    return _spread(zero, usual, rest), own
+
+
 # -- runs -------------------------------------------------------------------------
 
 
@@ -112,7 +146,7 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         ids = pa.concat_arrays([h[0] for h in held])
         trains, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
         words, at = np.unique(np.concatenate([*[h[3] for h in held], np.array([_START])]), return_inverse=True)
-        values = [(part << 32) + turn, ids.to_pylist(), trains.astype(np.uint8).tobytes(), sizes.astype(np.int64).tobytes(), _planes(words), _planes(at[:-1].astype(np.uint32))]
+        values = [(part << 32) + turn, ids.to_pylist(), trains.astype(np.uint8).tobytes(), sizes.astype(np.int64).tobytes(), _planes(np.diff(words, prepend=np.uint64(0))), _planes(at[:-1].astype(np.uint32))]
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["run", "ids", "trains", "sizes", "words", "tokens"])
 
@@ -137,8 +171,8 @@ class Run:
     def __init__(self, row: dict, bits: int):
         self.run, self.ids, self.bits = row["run"], row["ids"], bits
         self.sizes = np.frombuffer(row["sizes"], np.int64)
-        words, at = _unplaned(row["words"], np.uint64), _unplaned(row["tokens"], np.uint32)
-        self.hashes = words[at]
+        words = np.cumsum(_unplaned(row["words"], np.uint64), dtype=np.uint64)
+        self.hashes = words[_unplaned(row["tokens"], np.uint32)]
         self.trains = np.repeat(np.frombuffer(row["trains"], np.uint8).astype(bool), self.sizes)
         ends = np.cumsum(self.sizes)
         self.starts = ends - self.sizes
@@ -191,18 +225,20 @@ def _requests(n: int, order: int, folder: str, ranges: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each_run(batches, bits):
             keys, at, _ = r.grams(n, n < order)
-            count = lambda places, weights=None: np.bincount(places, weights, minlength=len(keys)).astype(np.uint32)
+            count = lambda places, weights=None: np.bincount(places, weights, minlength=len(keys)).astype(np.int64)
             tokens = at[: len(r.hashes)]
-            fields = [count(tokens[r.trains])]
+            fields = [count(tokens[r.trains])] if n in (1, order) else []
             if n < order:
                 longer, _, first = r.grams(n + 1, n + 1 < order)
-                own = np.flatnonzero(np.unpackbits(_load(folder, f"{n + 1}-{r.run}.own"), count=len(longer)))
-                counts, ends, begins = _known(folder, n + 1, r.run, 0)[own], tokens[first[own]], r.contexts(at)[first[own]]
-                fields = [count(ends), count(begins, counts), *[count(begins[x]) for x in (counts == 1, counts == 2, counts >= 3)], *fields]
+                known, own = _known(folder, n + 1, r.run, len(longer))
+                counts, first = known[0, own], first[own]
+                begins = r.contexts(at)[first]
+                fields = [count(tokens[first]), count(begins, counts), *[count(begins[x]) for x in (counts == 1, counts == 2, counts >= 3)], *fields]
+            fields = np.stack(fields)
             range_ = _range_of(keys, ranges)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(range_)) + 1, [len(keys)]])
             parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            sent = [b"".join(_planes(f[a:b]) for f in fields) for a, b in parts]
+            sent = [_packed(fields[:, a:b]) for a, b in parts]
             arrays = [pa.array([int(range_[a]) for a, _ in parts], pa.int64()), pa.array([r.run] * len(parts), pa.int64()), pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()), pa.array(sent, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["range", "run", "keys", "fields"])
 
@@ -220,9 +256,8 @@ def _answers(n: int, order: int):
         table = table.sort_by("run")
         keys = [np.cumsum(_unplaned(b.as_py(), np.uint64), dtype=np.uint64) for b in table.column("keys")]
         sizes = [len(k) for k in keys]
-        width = 1 if n == order else 6
-        sent = [_unplaned(b.as_py(), np.uint32) if width == 1 else np.concatenate([_unplaned(b.as_py()[4 * s * i : 4 * s * (i + 1)], np.uint32) for i in range(6)]) for b, s in zip(table.column("fields"), sizes, strict=True)]
-        each = np.concatenate([x.reshape(width, s) for x, s in zip(sent, sizes, strict=True)], axis=1)
+        width = _width(n, order)
+        each = np.concatenate([_unpacked(b.as_py(), width, s) for b, s in zip(table.column("fields"), sizes, strict=True)], axis=1)
         flat = np.concatenate(keys)
         order_ = np.argsort(flat, kind="stable")
         new = np.concatenate([[True], np.diff(flat[order_]) != 0])
@@ -231,45 +266,37 @@ def _answers(n: int, order: int):
         fields = np.stack([np.bincount(at, f) for f in each]).astype(np.int64)
         # The first run that counted an n-gram owns it.
         some = np.flatnonzero(each[0])
-        own = np.zeros(len(flat), np.uint8)
-        own[some[np.unique(at[some], return_index=True)[1]]] = 1
-        cuts = np.cumsum([0, *sizes])
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            out.append(b"".join([own[a:b].tobytes(), *[_planes(f[at[a:b]].astype(np.uint32) if f.max(initial=0) < 2**32 else f[at[a:b]].view(np.uint64)) for f in fields]]))
+        own = np.zeros(len(flat), bool)
+        own[some[np.unique(at[some], return_index=True)[1]]] = True
+        cuts = np.cumsum([0, *sizes]).tolist()
+        out = [np.packbits(own[a:b]).tobytes() + _packed(fields[:, at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         k = np.bincount(np.minimum(fields[0], 5), minlength=6)[1:]
-        sums = [*k.tolist(), int(fields[0].sum()), int((fields[-1] > 0).sum()), int(fields[-1].sum())]
-        wide = [8 if f.max(initial=0) >= 2**32 else 4 for f in fields]
+        sums = [*k.tolist(), int(fields[0].sum()), int((fields[-1] > 0).sum()), int(fields[-1].sum())]  # the last two: of words
         rows = len(sizes)
         return pa.table({
             "run": pa.array([*table.column("run").to_pylist(), None], pa.int64()), "range": pa.array([key[0].as_py()] * (rows + 1), pa.int64()),
-            "size": pa.array([*sizes, 0], pa.int64()), "widths": pa.array([wide] * rows + [None], pa.list_(pa.int32())), "fields": pa.array([*out, b""], pa.binary()),
+            "size": pa.array([*sizes, 0], pa.int64()), "fields": pa.array([*out, b""], pa.binary()),
             **{c: pa.array([0] * rows + [v], pa.int64()) for c, v in zip(_SUMS, sums, strict=True)},
         })
 
     return run
 
 
-_ANSWERS = f"run bigint, range bigint, size bigint, widths array<int>, fields binary, {', '.join(f'{c} bigint' for c in _SUMS)}"
+_ANSWERS = f"run bigint, range bigint, size bigint, fields binary, {', '.join(f'{c} bigint' for c in _SUMS)}"
 
 
-def _store(n: int, folder: str):
+def _store(n: int, order: int, folder: str):
     """Stores the answers to a run, range after range."""
 
     def run(key, table):
-        rows = table.sort_by("range").to_pylist()
-        own, fields = [], []
-        for r in rows:
-            at, of = r["size"], []
-            own.append(np.frombuffer(r["fields"], np.uint8, at))
-            for w in r["widths"]:
-                of.append(_unplaned(r["fields"][at : at + w * r["size"]], np.uint32 if w == 4 else np.uint64).astype(np.int64))
-                at += w * r["size"]
-            fields.append(np.stack(of))
-        known = np.concatenate(fields, axis=1)
-        field, place = np.nonzero(known > 255)
-        large = np.stack([field, place, known[field, place]])
-        _save(folder, f"{n}-{key[0].as_py()}", small=np.minimum(known, 255).astype(np.uint8), large=large, own=np.packbits(np.concatenate(own)))
+        rows = table.sort_by("range").select(["size", "fields"]).to_pylist()
+        bits = [(r["size"] + 7) // 8 for r in rows]
+        own = np.concatenate([np.unpackbits(np.frombuffer(r["fields"], np.uint8, b), count=r["size"]) for r, b in zip(rows, bits, strict=True)])
+        known = np.concatenate([_unpacked(r["fields"][b:], _width(n, order), r["size"]) for r, b in zip(rows, bits, strict=True)], axis=1)
+        zero, usual = _kinds(known)
+        rest = known[:, ~(zero | usual)]
+        field, place = np.nonzero(rest > 255)
+        _save(folder, f"{n}-{key[0].as_py()}", small=np.minimum(rest, 255).astype(np.uint8), large=np.stack([field, place, rest[field, place]]), bits=np.stack([np.packbits(x) for x in (zero, usual, own)]))
         return pa.table({"run": pa.array([key[0].as_py()], pa.int64())})
 
     return run
@@ -293,15 +320,15 @@ def fit(rows: DataFrame, order: int = ORDER) -> tuple[DataFrame, str, int, list[
     # About a token for five bytes; it only sets sizes.
     tokens = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
     size, bits = run_tokens(tokens), key_bits(tokens)
-    runs = written(rows.mapInArrow(lambda batches: _runs(batches, size), _RUNS), "runs")
+    runs = written(rows.mapInArrow(lambda batches: _runs(batches, size), _RUNS), "runs", "zstd")
     folder, sums = new_path(spark, "ngrams"), []
     for n in range(order, 0, -1):
         # A run has about a tenth as many distinct words as tokens.
         ranges = max(1, -(-tokens // size) // (1 if n > 1 else 10))
         asked = runs.mapInArrow(_requests(n, order, folder, ranges, bits), "range bigint, run bigint, keys binary, fields binary")
-        answers = written(asked.groupBy("range").applyInArrow(_answers(n, order), _ANSWERS), "answers")
+        answers = written(asked.groupBy("range").applyInArrow(_answers(n, order), _ANSWERS), "answers", "zstd")
         sums.append({k: v or 0 for k, v in answers.agg(*[F.sum(c).alias(c) for c in _SUMS]).first().asDict().items()})
-        answers.filter("run is not null").groupBy("run").applyInArrow(_store(n, folder), "run bigint").write.format("noop").mode("overwrite").save()
+        answers.filter("run is not null").groupBy("run").applyInArrow(_store(n, order, folder), "run bigint").write.format("noop").mode("overwrite").save()
         drop(answers)
     return runs, folder, bits, sums[::-1]
 
@@ -317,16 +344,18 @@ def probabilities(r: Run, folder: str, sums: list[dict]) -> np.ndarray:
     s = sums[0]
     if not s["counts"]:
         return np.ones(tokens)
-    _, at, _ = r.grams(1)
-    counts = _known(folder, 1, r.run, 0)
+    keys, at, _ = r.grams(1)
+    known, _ = _known(folder, 1, r.run, len(keys))
+    counts = known[0]
     rest = (d[0][1] * s["k1"] + d[0][2] * s["k2"] + d[0][3] * (s["k3"] + s["k4"] + s["k5"])) / s["counts"]
     p = (np.maximum(counts - weight(1, counts), 0) / s["counts"] + rest / (s["words"] + 1))[at[:tokens]]
     for n in range(2, order + 1):
-        total, n1, n2, n3 = (_known(folder, n - 1, r.run, f) for f in range(1, 5))
+        total, n1, n2, n3 = known[1:5]
         left = (d[n - 1][1] * n1 + d[n - 1][2] * n2 + d[n - 1][3] * n3) / np.maximum(total, 1)
         before = r.contexts(at)
-        _, at, _ = r.grams(n, n < order)
-        c = _known(folder, n, r.run, 0)[at[:tokens]]
+        keys, at, _ = r.grams(n, n < order)
+        known, _ = _known(folder, n, r.run, len(keys))
+        c = known[0][at[:tokens]]
         after = total[before]
         p = np.where(after > 0, np.maximum(c - weight(n, c), 0) / np.maximum(after, 1) + left[before] * p, p)
     return p
@@ -335,7 +364,8 @@ def probabilities(r: Run, folder: str, sums: list[dict]) -> np.ndarray:
 def _scores(folder: str, bits: int, sums: list[dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each_run(batches, bits):
-            counts = _known(folder, 1, r.run, 5)[r.grams(1)[1][: len(r.hashes)]]
+            words, at, _ = r.grams(1)
+            counts = _known(folder, 1, r.run, len(words))[0][5][at[: len(r.hashes)]]
             base = np.log10((counts + 0.1) / (sums[0]["tokens"] + 0.1 * (sums[0]["words"] + 1)))
             of = lambda x: np.add.reduceat(x, r.starts)
             arrays = [pa.array(r.ids, pa.int64()), pa.array(r.sizes), pa.array(of((counts > 0).astype(np.int64))), pa.array(of(base)), pa.array(of(np.log10(probabilities(r, folder, sums))))]

@@ -508,8 +508,8 @@ def kneser_ney(train, order):
 
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_language_model(docs, odd, nothing, monkeypatch, order):
-    monkeypatch.setattr(ngram_lm, "RUN", 5000)
     monkeypatch.setattr(ngram_lm, "run_tokens", lambda tokens: 5000)
+    monkeypatch.setattr(ngram_lm, "key_bits", lambda tokens: 60)  # no n-gram meets another
     texts = {r["doc_id"]: [*words(r["text"]), "end"] for r in docs.collect()}
     train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
     p, v = kneser_ney(train, order)
@@ -539,6 +539,11 @@ def test_arrays_on_their_way():
     for kind in (np.uint32, np.uint64):
         a = rng.integers(0, np.iinfo(kind).max, 77, dtype=kind)
         assert (ngram_lm._unplaned(ngram_lm._planes(a), kind) == a).all() and len(ngram_lm._unplaned(b"", kind)) == 0
+    for width, top in itertools.product((1, 5, 6), (2, 300, 2**33)):
+        fields = np.where(rng.random((width, 90)) < 0.5, rng.integers(0, top, (width, 90)), 0)
+        fields[:, 5], fields[:, 6] = ngram_lm._USUAL[:width], 0
+        for f in (fields, fields[:, :0]):
+            assert (ngram_lm._unpacked(ngram_lm._packed(f), width, f.shape[1]) == f).all()
 
 
 # -- 10 ----------------------------------------------------------------------
