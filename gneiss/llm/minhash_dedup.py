@@ -39,7 +39,7 @@ SMALL_BUCKET = 16
 #: Rounds of pivots in a large bucket before the rest is compared in tiles.
 PIVOTS = 3
 #: Sets on a side of a tile: TILE for groups of up to TILE * TILES, then more, up to TILE_MAX. Columns that a task multiplies at once.
-TILE, TILES, TILE_MAX, COLUMNS = 256, 64, 4096, 4096
+TILE, TILES, TILE_MAX, COLUMNS = 1024, 8, 4096, 2048
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.cumsum(np.full(4096, _STEP, dtype=np.uint64), dtype=np.uint64)
