@@ -194,10 +194,13 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_W
 def _verified(words: DataFrame, met: DataFrame, near: int) -> DataFrame:
     """The pairs of met that really are within the bound, checked on their words."""
     ends = met.select(F.col("at").alias("p")).union(met.select("to")).distinct()
-    words = words.select(F.struct("doc_id", "row", "line").alias("p"), "got").join(ends, "p", "left_semi").distinct()
+    # Written, so that the joins are of plain tables, in which the engine splits a line that many others meet.
+    words = written(words.select(F.struct("doc_id", "row", "line").alias("p"), "got").join(ends, "p", "left_semi").distinct(), "ends")
     pairs = met.join(words.select(F.col("p").alias("at"), F.col("got").alias("x")), "at").join(words.select(F.col("p").alias("to"), F.col("got").alias("y")), "to")
     longest = F.greatest(F.size("x"), F.size("y"))
-    return written(pairs.filter((longest >= near) & _within_one(F.col("x"), F.col("y"))).select("at").distinct(), "verified")
+    out = written(pairs.filter((longest >= near) & _within_one(F.col("x"), F.col("y"))).select("at").distinct(), "verified")
+    drop(words)
+    return out
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:

@@ -177,6 +177,7 @@ def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
     for _ in range(PIVOTS):
         best = F.struct("weight", F.xxhash64("id"), "id")
         pivots = left.groupBy("key").agg(F.max_by(F.struct("id", "n", "weight"), best).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.weight").alias("pw"))
+        pivots = written(pivots, "pivots")  # one row a large bucket; the join below is of plain tables, so that buckets are split
         near = large.join(pivots, "key").filter((F.col("id") != F.col("pivot")) & _similar("n", "pn", percent))
         # One pivot a member and round, the most central of its buckets': what this leaves apart is compared in tiles.
         chosen = near.groupBy("id").agg(F.max(F.struct("pw", F.xxhash64("pivot").alias("h"), "pivot")).alias("c")).select("id", F.col("c.pivot").alias("pivot"))
