@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.lineage import drop, written
@@ -147,18 +147,17 @@ def _similar(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
-    """Tables of verified links (a, b) between class representatives."""
-    spark = reps.sparkSession
+def _bucket_links(reps: DataFrame, sets_of, percent: int, kept) -> list[DataFrame]:
+    """Tables of verified links (a, b) between class representatives. kept: written(), for tables that the caller drops."""
     entries = written(reps.select("id", "n", F.explode("bands").alias("key")), "bands")
     sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last"))
-    members = written(entries.join(sizes.select("key", "size"), "key"), "buckets")
+    members = kept(entries.join(sizes.select("key", "size"), "key"), "buckets")
     drop(entries)
     small, large = members.filter(F.col("size") <= SMALL_BUCKET), members.filter(F.col("size") > SMALL_BUCKET).select("key", "id", "n")
     sets = sets_of(members.select("id").distinct())
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return written(_verified(pairs, sets), "verified")
+        return kept(_verified(pairs, sets), "verified")
 
     other = small.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"))
     pairs = small.join(other, "key").filter((F.col("id") < F.col("id2")) & _similar("n", "n2", percent))
@@ -172,12 +171,12 @@ def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
     alone = elements.groupBy("e").agg(F.min("id").alias("id"), F.count("*").alias("c")).filter("c = 1")
     lone = alone.groupBy("id").agg(F.count("*").alias("lone"))
     m = F.col("n") - F.coalesce("lone", F.lit(0))
-    large = written(large.join(lone, "id", "left").select("key", "id", "n", m.alias("m"), F.floor(m * 1_000_000 / F.col("n")).alias("weight")), "large")
+    large = kept(large.join(lone, "id", "left").select("key", "id", "n", m.alias("m"), F.floor(m * 1_000_000 / F.col("n")).alias("weight")), "large")
     left = large
     for _ in range(PIVOTS):
         best = F.struct("weight", F.xxhash64("id"), "id")
         pivots = left.groupBy("key").agg(F.max_by(F.struct("id", "n", "weight"), best).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.weight").alias("pw"))
-        pivots = written(pivots, "pivots")  # one row a large bucket; the join below is of plain tables, so that buckets are split
+        pivots = kept(pivots, "pivots")  # one row a large bucket; the join below is of plain tables, so that buckets are split
         near = large.join(pivots, "key").filter((F.col("id") != F.col("pivot")) & _similar("n", "pn", percent))
         # One pivot a member and round, the most central of its buckets': what this leaves apart is compared in tiles.
         chosen = near.groupBy("id").agg(F.max(F.struct("pw", F.xxhash64("pivot").alias("h"), "pivot")).alias("c")).select("id", F.col("c.pivot").alias("pivot"))
@@ -185,10 +184,10 @@ def _bucket_links(reps: DataFrame, sets_of, percent: int) -> list[DataFrame]:
         out.append(ball)
         reached = ball.select(F.col("a").alias("id")).union(ball.select("b")).distinct()
         rest = left.join(reached, "id", "left_anti")
-        left = written(rest.select("key", "id", "n", "weight"), "outside")
+        left = kept(rest.select("key", "id", "n", "weight"), "outside")
         if left.isEmpty():
             break
-    return [*out, _across(large, sets, out, percent)]
+    return [*out, _across(large, sets, out, percent, kept)]
 
 
 def _linked(percent: int):
@@ -249,7 +248,7 @@ def _tile_links(percent: int):
     return run
 
 
-def _across(large: DataFrame, sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
+def _across(large: DataFrame, sets: DataFrame, links: list[DataFrame], percent: int, kept) -> DataFrame:
     """Links between members of large buckets that hang together and are still in different components."""
     union = links[0]
     for x in links[1:]:
@@ -278,7 +277,7 @@ def _across(large: DataFrame, sets: DataFrame, links: list[DataFrame], percent:
     rows = left.union(right).join(sets, "id").select("group", "i", "j", "side", "id", "root", "n", "elements")
     parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = rows.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    out = written(tiles.mapInArrow(_tile_links(percent), "a bigint, b bigint").select(*_pair("a", "b")).distinct(), "across")
+    out = kept(tiles.mapInArrow(_tile_links(percent), "a bigint, b bigint").select(*_pair("a", "b")).distinct(), "across")
     drop(member)
     return out
 
@@ -289,8 +288,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, places:
     Links: 100 * intersection >= percent * union of the sets of word shingles. Candidates come from
     places / rows bands: with the defaults a pair of exactly 0.8 is missed with a chance of 3e-6.
     """
-    spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed_docs = written(plain.mapInArrow(_signatures(words, places, rows), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>"), "signatures")
     some = signed_docs.filter("n_shingles > 0")
@@ -302,14 +306,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, places:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = plain.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return written(wanted.mapInArrow(_sets(words), "id bigint, elements array<bigint>"), "sets")
+        return kept(wanted.mapInArrow(_sets(words), "id bigint, elements array<bigint>"), "sets")
 
     # Links are between class representatives; copies follow theirs. A doc_id of several texts links their classes.
     several = member.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter(F.col("a") < F.col("z")).select("doc_id", "a")
     union = member.join(several, "doc_id").select("a", F.col("rep").alias("b"))
-    for x in _bucket_links(reps, sets_of, percent):
+    for x in _bucket_links(reps, sets_of, percent, kept):
         union = union.union(x)
     roots = components(union)
+    drop(*made)
     of_doc = member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).filter(F.col("doc_id").isNotNull()).distinct()
     out = signed_docs.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     component = F.coalesce("root", "doc_id")
