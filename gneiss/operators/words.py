@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,12 @@ class WordCount:
 
 
 def split_words(df: DataFrame, column: str, separators: str = "[ \\t]+") -> DataFrame:
-    """One row for each non-empty word."""
-    words = F.filter(F.split(F.col(column), separators), lambda w: w != "")
+    """One row for each non-empty word. Classes of spaces, tabs and line ends are split at without a regular expression."""
+    text = F.col(column)
+    if re.fullmatch(r"\[( |\\[tnr])* ( |\\[tnr])*\]\+", separators):
+        for code, c in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+            if code in separators:
+                text = F.replace(text, F.lit(c), F.lit(" "))
+        separators = " "
+    words = F.filter(F.split(text, separators), lambda w: w != "")
     return df.select(F.explode(words).alias("word"))

@@ -473,6 +473,33 @@ def test_links_of_a_group_larger_than_the_windows(spark, monkeypatch):
     assert want.max() > 8 * 16 and [got[i] for i in range(len(x))] == want.tolist()
 
 
+@pytest.mark.parametrize("parts", [8, 60])
+def test_dense_group_and_scattered_pairs(spark, parts):
+    """2,000 near vectors (more than windows reach), copies, and isolated pairs just above and below the threshold."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    group = unit(rng.normal(size=32) + 0.3 * rng.normal(size=(2000, 32)))
+    a, b = unit(rng.normal(size=(300, 32))), unit(rng.normal(size=(300, 32)))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    c = np.where(np.arange(300) % 3, 0.905, 0.895)[:, None]
+    x = np.concatenate([group, a, c * a + np.sqrt(1 - c * c) * b, group[:5], a[:5]]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(parts)
+    y = unit(x.astype(float))
+    links = y @ y.T >= 0.9
+    root = np.arange(len(x))
+    for i in range(len(x)):
+        near = np.flatnonzero(links[i])
+        root[np.isin(root, root[near])] = root[near].min()
+    want = {i: (int(links[i].sum()) - 1, int(root[i])) for i in range(len(x))}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert want[0][0] > 2 * embedding_dedup.WINDOW and got == want
+
+
 def test_passes_grow_with_the_table():
     assert embedding_dedup.passes_for(0) == embedding_dedup.passes_for(1000) == 24
     assert 24 < embedding_dedup.passes_for(50_000) < embedding_dedup.passes_for(500_000) < embedding_dedup.passes_for(50_000_000)
