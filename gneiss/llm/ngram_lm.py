@@ -42,7 +42,7 @@ from gneiss.llm.words import bounded_batches, chunks, mix
 
 ORDER = 3
 #: Tokens of a run, and n-grams of a range, in a small corpus.
-RUN = 1 << 21
+RUN = 1 << 20
 
 _END, _START = np.uint64(0x5EED0FE4D0FD0C05), np.uint64(0xB0F0B0F0C0FFEE11)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -145,8 +145,13 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     def send():
         ids = pa.concat_arrays([h[0] for h in held])
         trains, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-        words, at = np.unique(np.concatenate([*[h[3] for h in held], np.array([_START])]), return_inverse=True)
-        values = [(part << 32) + turn, ids.to_pylist(), trains.astype(np.uint8).tobytes(), sizes.astype(np.int64).tobytes(), _planes(np.diff(words, prepend=np.uint64(0))), _planes(at[:-1].astype(np.uint32))]
+        words, at, often = np.unique(np.concatenate([*[h[3] for h in held], np.array([_START])]), return_inverse=True, return_counts=True)
+        # Frequent words have small numbers, which take little room.
+        order = np.argsort(-often, kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        words, at = words[order], number[at]
+        values = [(part << 32) + turn, ids.to_pylist(), trains.astype(np.uint8).tobytes(), sizes.astype(np.int64).tobytes(), _planes(words), _planes(at[:-1])]
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["run", "ids", "trains", "sizes", "words", "tokens"])
 
@@ -171,8 +176,7 @@ class Run:
     def __init__(self, row: dict, bits: int):
         self.run, self.ids, self.bits = row["run"], row["ids"], bits
         self.sizes = np.frombuffer(row["sizes"], np.int64)
-        words = np.cumsum(_unplaned(row["words"], np.uint64), dtype=np.uint64)
-        self.hashes = words[_unplaned(row["tokens"], np.uint32)]
+        self.hashes = _unplaned(row["words"], np.uint64)[_unplaned(row["tokens"], np.uint32)]
         self.trains = np.repeat(np.frombuffer(row["trains"], np.uint8).astype(bool), self.sizes)
         ends = np.cumsum(self.sizes)
         self.starts = ends - self.sizes
@@ -191,11 +195,11 @@ class Run:
             key, start = key >> cut << cut, start >> cut << cut
         return key, start[0]
 
-    def grams(self, n: int, with_start: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The sorted distinct n-grams, the place among them of that which ends at each token (and last, of n starts), and a token that ends each."""
+    def grams(self, n: int, with_start: bool = True, ends: bool = False) -> tuple[np.ndarray, ...]:
+        """The sorted distinct n-grams, the place among them of that which ends at each token (and last, of n starts), and, if asked for, a token that ends each."""
         key, start = self._keys(n)
-        found, first, at = np.unique(np.append(key, start) if with_start else key, return_index=True, return_inverse=True)
-        return found, at, first
+        found, *first, at = np.unique(np.append(key, start) if with_start else key, return_index=ends, return_inverse=True)
+        return found, at, *first
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
         """Of each token, the place of the n-gram before it, from places as of grams()."""
@@ -224,12 +228,12 @@ def _requests(n: int, order: int, folder: str, ranges: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each_run(batches, bits):
-            keys, at, _ = r.grams(n, n < order)
+            keys, at = r.grams(n, n < order)
             count = lambda places, weights=None: np.bincount(places, weights, minlength=len(keys)).astype(np.int64)
             tokens = at[: len(r.hashes)]
             fields = [count(tokens[r.trains])] if n in (1, order) else []
             if n < order:
-                longer, _, first = r.grams(n + 1, n + 1 < order)
+                longer, _, first = r.grams(n + 1, n + 1 < order, ends=True)
                 known, own = _known(folder, n + 1, r.run, len(longer))
                 counts, first = known[0, own], first[own]
                 begins = r.contexts(at)[first]
@@ -344,7 +348,7 @@ def probabilities(r: Run, folder: str, sums: list[dict]) -> np.ndarray:
     s = sums[0]
     if not s["counts"]:
         return np.ones(tokens)
-    keys, at, _ = r.grams(1)
+    keys, at = r.grams(1)
     known, _ = _known(folder, 1, r.run, len(keys))
     counts = known[0]
     rest = (d[0][1] * s["k1"] + d[0][2] * s["k2"] + d[0][3] * (s["k3"] + s["k4"] + s["k5"])) / s["counts"]
@@ -353,7 +357,7 @@ def probabilities(r: Run, folder: str, sums: list[dict]) -> np.ndarray:
         total, n1, n2, n3 = known[1:5]
         left = (d[n - 1][1] * n1 + d[n - 1][2] * n2 + d[n - 1][3] * n3) / np.maximum(total, 1)
         before = r.contexts(at)
-        keys, at, _ = r.grams(n, n < order)
+        keys, at = r.grams(n, n < order)
         known, _ = _known(folder, n, r.run, len(keys))
         c = known[0][at[:tokens]]
         after = total[before]
@@ -364,7 +368,7 @@ def probabilities(r: Run, folder: str, sums: list[dict]) -> np.ndarray:
 def _scores(folder: str, bits: int, sums: list[dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each_run(batches, bits):
-            words, at, _ = r.grams(1)
+            words, at = r.grams(1)
             counts = _known(folder, 1, r.run, len(words))[0][5][at[: len(r.hashes)]]
             base = np.log10((counts + 0.1) / (sums[0]["tokens"] + 0.1 * (sums[0]["words"] + 1)))
             of = lambda x: np.add.reduceat(x, r.starts)
