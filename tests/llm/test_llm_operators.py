@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import itertools
 import math
 import re
@@ -621,6 +622,22 @@ def test_only_the_template_tells_content(spark):
     assert got[20] == off[20]
 
 
+def article_text(source):
+    """The text of a page's article by plain replacements, for pages whose articles hold headings, paragraphs, bold text and breaks."""
+    inner = re.search(r"<article>(.*?)</article>", source, re.S)[1]
+    assert {x.lower() for x in re.findall(r"</?([a-zA-Z0-9]+)", inner)} <= {"h1", "p", "b", "br"}
+    blocks = re.split(r"</?(?:p|h1)[^>]*>", inner, flags=re.I)
+    plain = [" ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br\s*/?>", " ", b, flags=re.I), flags=re.I)).split()) for b in blocks]
+    return "\n\n".join(b for b in plain if b)
+
+
+def test_pages_against_plain_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = html_extract.extract(pages).collect()
+    want = {r["page_id"]: article_text(r["html"]) for r in pages.collect()}
+    assert len(got) == len(want) and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_content_slot():
     tag = lambda *path: html_extract._tag("/" + "/".join(path))
     row = lambda *path, chars=0, links=0: {tag(*path): (tag(*path[:-1]) if path[:-1] else 0, html_extract._flags("/" + "/".join(path)), chars, links)}
