@@ -68,5 +68,4 @@ def split_words(df: DataFrame, column: str, separators: str = "[ \\t]+") -> Data
             if code in separators:
                 text = F.replace(text, F.lit(c), F.lit(" "))
         separators = " "
-    words = F.filter(F.split(text, separators), lambda w: w != "")
-    return df.select(F.explode(words).alias("word"))
+    return df.select(F.explode(F.split(text, separators)).alias("word")).filter(F.col("word") != "")
