@@ -54,6 +54,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table made by written()."""
+    jvm = df.sparkSession.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(df._gneiss_path)
+    return where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by written() that no later step reads."""
     for df in tables:

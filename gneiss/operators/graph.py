@@ -6,10 +6,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.functions.lineage import drop, written
+from gneiss.functions.lineage import drop, size_of, written
 from gneiss.operators.dataset import Dataset
 
 START, DAMPING = 0.15, 0.85
+#: Edges of so few bytes are cheaper to read again than to keep.
+SMALL = 8 << 20
 
 
 def adjacency_edges(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -27,9 +29,9 @@ def pagerank(edges: DataFrame, iterations: int, every: int = 4) -> DataFrame:
     """(id, pr) after iterations - 1 updates of pr = 0.85 * incoming + 0.15, from 0.15.
 
     Ranks aren't normalised, dangling mass is lost and parallel edges count each time. Edges with a
-    NULL end are left out. Edges with their shares are written once, then dealt by src and kept that way, so that
-    an update shuffles ranks and combined contributions but never the edges; every few updates the ranks are
-    written too, which bounds the plan. Lost parts of the kept edges are computed again from the written table.
+    NULL end are left out. Edges with their shares are written once. Those of more than SMALL bytes are then dealt by src
+    and kept that way, so that an update shuffles ranks and combined contributions but never the edges; every few updates
+    the ranks are written too, which bounds the plan. Lost parts of the kept edges are computed again from the written table.
     """
     if iterations < 1:
         raise ValueError("one iteration is needed at least")
@@ -39,18 +41,21 @@ def pagerank(edges: DataFrame, iterations: int, every: int = 4) -> DataFrame:
     links = written(weighted.join(out, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("share")), "links")
     ids = written(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct(), "vertices")
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored, links = links, links.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    stored, kept = links, size_of(links) > SMALL
+    if kept:
+        links = links.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks, last = ids.withColumn("pr", F.lit(START)), None
     for i in range(1, iterations):
         incoming = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") * F.col("share")).alias("in"))
         ranks = ids.join(incoming, "id", "left").select("id", (DAMPING * F.coalesce("in", F.lit(0.0)) + START).alias("pr"))
-        if i % every == 0 or i == iterations - 1:
+        if i % every == 0 or (kept and i == iterations - 1):
             ranks = written(ranks, "ranks")
             if last is not None:
                 drop(last)
             last = ranks
-    links.unpersist()
-    drop(stored)
+    if kept:
+        links.unpersist()
+        drop(stored)
     return ranks
 
 
